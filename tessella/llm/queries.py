@@ -7,13 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import balltree, simhash
+from tessella.llm import balltree, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken: documents mixed by source, weights 5, 2, 1 repeating, at most 3 epochs."""
+    got = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return got.select("doc_id", "mix_.size", "mix_.source_size", "mix_.target", (F.col("mix_.size") * F.col("mix_.copies")).alias("taken"))
+
+
+#: Water-filling in closed form: by cap over weight, a source is clamped as long as its share of what the sources before
+#: it leave is above its cap. Then running sums in hash order.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, md5('mix' || COALESCE('/' || doc_id::VARCHAR, '')) AS k,
+    COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INTEGER]::BIGINT AS weight FROM s),
+a AS (SELECT *, (3 * source_size)::HUGEINT AS cap FROM w WHERE source_size > 0),
+b AS (SELECT *, sum(cap) OVER x - cap AS caps, sum(weight) OVER x - weight AS weights FROM a
+  WINDOW x AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT sum(source_size)::HUGEINT AS words, sum(weight)::HUGEINT AS weight FROM a),
+c AS (SELECT b.*, b.cap * (t.weight - b.weights) < b.weight * (t.words - b.caps) AS clamped, t.words, t.weight AS all_weight FROM b, t),
+r AS (SELECT (max(words) - COALESCE(sum(cap) FILTER (clamped), 0))::DOUBLE AS rest,
+  greatest(max(all_weight) - COALESCE(sum(weight) FILTER (clamped), 0), 1)::DOUBLE AS rest_weight FROM c),
+g AS (SELECT w.source, w.source_size, CASE WHEN w.source_size = 0 THEN 0::DOUBLE WHEN c.clamped THEN c.cap::DOUBLE
+  ELSE w.weight::DOUBLE * r.rest / r.rest_weight END AS target
+  FROM w CROSS JOIN r LEFT JOIN c ON c.source IS NOT DISTINCT FROM w.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM g),
+f AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, e.target - e.whole * e.source_size AS wanted,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS summed
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + CASE WHEN summed - size / 2.0::DOUBLE <= wanted THEN 1 ELSE 0 END))::BIGINT AS taken FROM f
+"""
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: shingles of 3 words, links up to 2 bits."""
     got = simhash.classes(_table(spark, sf_dir, "documents"), k=3, most=2)
@@ -40,7 +73,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES: dict[str, str] = {"op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
+    "op10_exact_top_k": OP10_SQL}
