@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import balltree, mixing, simhash
+from tessella.llm import balltree, mixing, quality, simhash
+from tessella.llm._shared import crc32_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,18 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def fitted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """The quality model of a folder: labels only of rows whose crc32(doc_id as text) mod 5 isn't 0."""
+    return quality.fit(docs, _table(spark, sf_dir, "labels"), crc32_mod("doc_id", 5) != 0)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    got = quality.score(docs, fitted_quality(spark, docs, sf_dir))
+    return got.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: shingles of 3 words, links up to 2 bits."""
     got = simhash.classes(_table(spark, sf_dir, "documents"), k=3, most=2)
@@ -74,6 +87,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
 }
