@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import balltree, mixing, quality, simhash, sketch
+from tessella.llm import balltree, mixing, phrases, quality, simhash, sketch
 from tessella.llm._shared import crc32_mod
 
 
@@ -54,6 +54,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "doc_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: every word in a window of 35 that starts elsewhere too is removed."""
+    return phrases.cut(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def fitted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
     """The quality model of a folder: labels only of rows whose crc32(doc_id as text) mod 5 isn't 0."""
     return quality.fit(docs, _table(spark, sf_dir, "labels"), crc32_mod("doc_id", 5) != 0)
@@ -94,6 +99,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
