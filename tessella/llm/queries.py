@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import balltree, mixing, phrases, quality, simhash, sketch
+from tessella.llm import balltree, bpe, mixing, phrases, quality, simhash, sketch
 from tessella.llm._shared import crc32_mod
 
 
@@ -54,6 +54,18 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "doc_id")
 
 
+def word_vocabulary() -> str:
+    """The vocabulary file of the encoding queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    return bpe.encode(_table(spark, sf_dir, "documents"), word_vocabulary()).withColumnRenamed("id", "doc_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: every word in a window of 35 that starts elsewhere too is removed."""
     return phrases.cut(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -99,6 +111,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_bpe_encoding": op3_bpe_encoding,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
