@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import balltree, bpe, mixing, phrases, quality, simhash, sketch
+from tessella.llm import balltree, bpe, line_dedup, mixing, phrases, quality, simhash, sketch
 from tessella.llm._shared import crc32_mod
 
 
@@ -83,6 +83,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 of every document, cut at the lines aligned with earlier ones."""
+    got = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "lines_.n_lines", "lines_.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: shingles of 3 words, links up to 2 bits."""
     got = simhash.classes(_table(spark, sf_dir, "documents"), k=3, most=2)
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_encoding": op3_bpe_encoding,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
 }

@@ -10,6 +10,8 @@ meeting is verified by its Hamming distance. Equal fingerprints count once, so g
 node. A key that more than CROWD different fingerprints share isn't paired out: its members are joined on midpoints
 instead (each fingerprint under itself and under each of its 64 one-bit neighbours; two at distance 1 or 2 share one),
 where no key can hold more than 65. Both ways are exact.
+For links up to 3 bits it is six blocks of which three are shared, and midpoints at distance 1 from one and 2 from the
+other.
 
 Defined cases: null text is empty text; null ids take part and their component is null unless an id is reachable;
 repeated rows come back as often; columns other than the two named are passed over; an empty table gives none.
@@ -17,6 +19,8 @@ repeated rows come back as often; columns other than the two named are passed ov
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +33,8 @@ from tessella.llm.components import components
 
 #: Different fingerprints under one key that are compared with each other; larger keys go by midpoints.
 CROWD = 64
-PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
+#: Blocks of the fingerprint and how many of them two must share, by the largest distance of a link.
+SPLITS = {2: (4, 2), 3: (6, 3)}
 
 
 def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,23 +87,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def links(fps: DataFrame, most: int = 2) -> DataFrame:
-    """(u, v), u < v, of different fingerprints (column fp, distinct) at most 2 bits apart: every such pair, perhaps twice."""
-    if most > 2:
-        raise ValueError("two of four blocks agree only up to 2 differing bits")
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [F.lit(n << 32).bitwiseOR(F.shiftleft(block[a], 16)).bitwiseOR(block[b]) for n, (a, b) in enumerate(PAIRS)]
+    """(u, v), u < v, of different fingerprints (column fp, distinct) at most so many bits apart (2 or 3): every such pair."""
+    n, agree = SPLITS[most]
+    edge = [64 * i // n for i in range(n + 1)]
+    block = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edge, edge[1:])]
+    keys = []
+    for number, own in enumerate(itertools.combinations(range(n), agree)):
+        key = F.lit(number).cast("long")
+        for i in own:
+            key = F.shiftleft(key, edge[i + 1] - edge[i]).bitwiseOR(block[i])
+        keys.append(key)
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = reliable(keyed.join(sizes, "key"))
     few, many = met.where(F.col("n") <= CROWD), met.where(F.col("n") > CROWD).select("fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63))) for i in range(64)])
-    crowd = many.select("fp", F.explode(near).alias("key"))
 
-    def pairs(x: DataFrame) -> DataFrame:
-        a, b = x.select("key", F.col("fp").alias("u")), x.select("key", F.col("fp").alias("v"))
-        return a.join(b, "key").where("u < v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most).select("u", "v")
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.select("key", F.col("fp").alias("u")).join(b.select("key", F.col("fp").alias("v")), "key")
+        ordered = both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        return ordered.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most)
+
+    def ball(x: DataFrame) -> DataFrame:
+        """Each fingerprint under itself and its one-bit neighbours."""
+        flips = [(1 << i) - (1 << 64) * (i == 63) for i in range(64)]
+        return x.select("fp", F.explode(F.array("key", *[F.col("key").bitwiseXOR(F.lit(f)) for f in flips])).alias("key"))
 
-    return pairs(few).union(pairs(crowd)).distinct()
+    near = ball(many.select("fp", F.col("fp").alias("key")))
+    return pairs(few, few).union(pairs(near, near if most == 2 else ball(near).distinct())).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, most: int = 2) -> DataFrame:

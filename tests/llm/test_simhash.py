@@ -61,14 +61,16 @@ def test_against_brute_force(spark):
 def test_crowded_keys_go_by_midpoints(spark):
     r = random.Random(1)
     base = r.getrandbits(64)
-    some = {base ^ sum(1 << b for b in r.sample(range(64), r.randrange(4))) for _ in range(400)}
+    some = {base ^ sum(1 << b for b in r.sample(range(64), r.randrange(4))) for _ in range(200)}
     df = spark.createDataFrame([(x - (1 << 64) * (x >> 63),) for x in some], "fp long")
     old, simhash.CROWD = simhash.CROWD, 8
     try:
-        got = {(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df).collect()}
+        got = {m: {(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df, m).collect()} for m in (2, 3)}
     finally:
         simhash.CROWD = old
-    assert {frozenset(p) for p in got} == {frozenset(p) for p in itertools.combinations(some, 2) if (p[0] ^ p[1]).bit_count() <= 2}
+    got[4] = {(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df, 3).collect()}
+    for m, found in got.items():
+        assert {frozenset(p) for p in found} == {frozenset(p) for p in itertools.combinations(some, 2) if (p[0] ^ p[1]).bit_count() <= min(m, 3)}
 
 
 def test_null_and_repeated_ids_and_empty_table(spark):
