@@ -31,10 +31,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import importable, shared_dir, slices
+from tessella.llm._shared import importable, reliable, shared_dir, slices
 from tessella.llm._tokens import BASE, INVERSE, mix, powers
 
 LEXICON, CACHE = 65_536, 200_000
@@ -306,9 +306,14 @@ def share(spark: SparkSession, data: bytes, name: str) -> str:
 
 
 def lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size: int = LEXICON) -> Lexicon:
-    """The lexicon of the most frequent words of all texts, ties by their bytes."""
-    counted = count_words(docs, text_col, tuple(vocabulary.special)).where(F.octet_length("word") <= LONGEST)
-    words = sorted(bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect())  # bounded by size
+    """The lexicon of the most frequent words of all texts: every word at least as frequent as the bar that lets at most size words in.
+
+    The bar is found in the histogram of counts, so the driver gets no more than size words and no candidates.
+    """
+    counted = reliable(count_words(docs, text_col, tuple(vocabulary.special)).where((F.octet_length("word") <= LONGEST) & (F.col("n") > 1)))
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))  # as many rows as different counts: under the root of twice the words
+    bar = counted.groupBy("n").agg(F.count("*").alias("words")).select("n", upto.alias("upto")).where(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    words = sorted(bytes(r.word) for r in counted.where(F.col("n") >= (bar or 1 << 62)).collect())  # bounded by size
     return Lexicon.compile(words, [vocabulary.merge(w) for w in words])
 
 
