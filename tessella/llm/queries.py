@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import balltree, bpe, line_dedup, mixing, phrases, quality, simhash, sketch
+from tessella.llm import balltree, bpe, licenses, line_dedup, mixing, phrases, quality, simhash, sketch
 from tessella.llm._shared import crc32_mod
 
 
@@ -71,6 +71,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.cut(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, path, license, cosine, origin of every page: its own licence, or that of the nearest directory above."""
+    pages = _table(spark, sf_dir, "pages")
+    files = pages.select(F.col("page_id").alias("id"), licenses.path_of(F.col("url")).alias("path"), licenses.visible(F.col("html")).alias("text"))
+    return licenses.scan(files).withColumnRenamed("id", "page_id")
+
+
 def fitted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
     """The quality model of a folder: labels only of rows whose crc32(doc_id as text) mod 5 isn't 0."""
     return quality.fit(docs, _table(spark, sf_dir, "labels"), crc32_mod("doc_id", 5) != 0)
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_bpe_encoding": op3_bpe_encoding,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
