@@ -112,7 +112,11 @@ def masked_sum(bits: Column, q: Column) -> Column:
 
 def bit_planes(codes: Column, planes: int) -> Column:
     """Of unsigned codes, for each bit from the lowest up, the packed words of that bit."""
-    each = [pack_bits(F.transform(codes, lambda c, j=j: F.call_function("shiftright", c, F.lit(j)).bitwiseAND(F.lit(1)))) for j in range(planes)]
+
+    def plane(j: int) -> Column:
+        return pack_bits(F.transform(codes, lambda c: F.call_function("shiftright", c, F.lit(j)).bitwiseAND(F.lit(1))))
+
+    each = [plane(j) for j in range(planes)]
     return F.array(*each)
 
 
