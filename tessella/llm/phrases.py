@@ -232,6 +232,7 @@ def locate(segments: list[str], counts: list[int], window: int = WINDOW) -> list
 
 def _located(segments: DataFrame, window: int) -> DataFrame:
     """(h1, h2, from, to) of every segment that holds recurring windows, in words from the segment's start."""
+    most = SHARD_WORDS
     each = segments.groupBy("anchor", "text", "h1", "h2").agg(F.sum("n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,7 @@ def _located(segments: DataFrame, window: int) -> DataFrame:
 
         for batch in batches:
             for a, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "text", "n", "h1", "h2"))):
-                if size > SHARD_WORDS and a != last:
+                if size > most and a != last:
                     yield flush()
                     held, size = [[], [], [], []], 0
                 for x, y in zip(held, row):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import balltree, bpe, licenses, line_dedup, mixing, phrases, quality, simhash, sketch
+from tessella.llm import balltree, bpe, katz, licenses, line_dedup, mixing, phrases, quality, simhash, sketch
 from tessella.llm._shared import crc32_mod
 
 
@@ -102,6 +102,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: pairs of words, trained where crc32 mod 7 isn't 2."""
+    got = katz.score(_table(spark, sf_dir, "documents"), crc32_mod("doc_id", 7) == 2, stored=True)
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 5 largest integer inner products of each row with vec_id % 50 = 0."""
     vectors = balltree.whole_vectors(_table(spark, sf_dir, "embeddings"))
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_katz_scoring": op9_katz_scoring,
     "op10_exact_top_k": op10_exact_top_k,
 }
 ORACLES: dict[str, str] = {

@@ -56,7 +56,6 @@ def test_against_brute_force(spark):
 def test_hot_anchors_and_small_shards(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HOT", 3)
     monkeypatch.setattr(phrases, "SHARD_WORDS", 100)
-    monkeypatch.setattr(phrases, "SLICE", 1, raising=False)
     rows = corpus(2)
     got = phrases.cut(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert sorted(map(key, got)) == sorted(map(key, brute(rows, 35)))
