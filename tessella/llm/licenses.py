@@ -53,7 +53,7 @@ def templates(spark: SparkSession, bags: dict[str, str] = TEMPLATES) -> DataFram
 
 def visible(html: Column) -> Column:
     """Text of markup: no scripts, styles or comments, one line a block."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
     lines = F.regexp_replace(bare, r"(?i)<(/?(p|div|li|ul|ol|tr|td|h[1-6]|article|nav|footer|header|title|section)|br)\b[^>]*>", "\n")
     return F.regexp_replace(lines, r"<[^>]*>", "")
 

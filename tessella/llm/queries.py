@@ -54,6 +54,20 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "doc_id")
 
 
+_WORDS = r"regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')".replace("\\\\", "\\")
+
+OP4_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("COALESCE(text, '')")} AS w FROM documents),
+g AS MATERIALIZED (SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS t FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT t FROM g GROUP BY t HAVING count(*) > 1),
+gone AS MATERIALIZED (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM g SEMI JOIN twice USING (t)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS s, count(*) AS n
+  FROM (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - COALESCE(n, 0))::BIGINT AS n_removed, sha256(COALESCE(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def word_vocabulary() -> str:
     """The vocabulary file of the encoding queries."""
     import public_tokenizers
@@ -78,6 +92,37 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).withColumnRenamed("id", "page_id")
 
 
+_BAGS = ", ".join(f"('{n}', '{b}')" for n, b in sorted(licenses.TEMPLATES.items()))
+_T = len(licenses.TEMPLATES)
+
+OP5_SQL = rf"""
+WITH f AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id,
+    regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS path,
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'),
+      '(?i)<(/?(p|div|li|ul|ol|tr|td|h[1-6]|article|nav|footer|header|title|section)|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM pages),
+b AS (SELECT * FROM (VALUES {_BAGS}) b(license, bag)),
+tf AS (SELECT license, term, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(bag, '{licenses.TERM}')) AS term FROM b) GROUP BY license, term),
+idf AS (SELECT term, ln({1 + _T}::DOUBLE / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+tw AS (SELECT license, term, (1 + ln(n)) * idf AS w FROM tf JOIN idf USING (term)),
+tn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY license),
+l AS (SELECT r, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.TELLS}')))) AS line FROM f),
+e AS (SELECT r, line, term, count(*) AS n FROM (SELECT r, line, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM l) GROUP BY r, line, term),
+x AS (SELECT r, line, term, (1 + ln(n)) * COALESCE(idf, 1) AS w FROM e LEFT JOIN idf USING (term)),
+xn AS (SELECT r, line, sqrt(sum(w * w)) AS norm FROM x GROUP BY r, line),
+c AS (SELECT r, license, round(sum(x.w * tw.w) / any_value(xn.norm) / any_value(tn.norm), 6) AS cosine
+  FROM x JOIN xn USING (r, line) JOIN tw USING (term) JOIN tn USING (license) GROUP BY r, line, license),
+o AS (SELECT r, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, license) AS k FROM c WHERE cosine >= 0.5) WHERE k = 1),
+w AS (SELECT f.r, page_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license, cosine FROM f LEFT JOIN o USING (r)),
+s AS (SELECT dir, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) AS k
+  FROM w WHERE license IS NOT NULL AND regexp_matches(path, '{licenses.LICENSE_FILE}')) WHERE k = 1),
+h AS (SELECT r, arg_max(s.license, len(s.dir)) AS license, arg_max(s.cosine, len(s.dir)) AS cosine
+  FROM w JOIN s ON w.dir = s.dir OR starts_with(w.dir, s.dir || '/') WHERE w.license IS NULL GROUP BY r)
+SELECT page_id, path, COALESCE(w.license, h.license) AS license, COALESCE(w.cosine, h.cosine) AS cosine,
+  CASE WHEN w.license IS NOT NULL THEN 'own' WHEN h.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin
+FROM w LEFT JOIN h USING (r)
+""".replace("\\\\", "\\")
+
+
 def fitted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
     """The quality model of a folder: labels only of rows whose crc32(doc_id as text) mod 5 isn't 0."""
     return quality.fit(docs, _table(spark, sf_dir, "labels"), crc32_mod("doc_id", 5) != 0)
@@ -105,7 +150,39 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: pairs of words, trained where crc32 mod 7 isn't 2."""
     got = katz.score(_table(spark, sf_dir, "documents"), crc32_mod("doc_id", 7) == 2, stored=True)
-    return got.withColumnRenamed("id", "doc_id")
+    return got.withColumnRenamed("id", "doc_id").withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+#: crc32 of an id as text, in whole numbers.
+_CRC = "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, z: xor(p >> 1, CASE WHEN p & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295), 4294967295)"
+
+
+def _lost(name: str, counts: str) -> str:
+    """CTEs: the numbers of counts, and what a count of 1 to 5 loses."""
+    n = ", ".join(f"count(*) FILTER (c = {r})" for r in range(1, 7))
+    d = "((r + 1) * a[r + 1] / a[r]::DOUBLE / r - rest) / (1 - rest)"
+    return f"""n{name} AS (SELECT [{n}] AS a, count(*) AS nv, sum(c)::BIGINT AS nn FROM {counts}),
+l{name} AS (SELECT r, CASE WHEN a[r] > 0 AND a[r + 1] > 0 AND rest < 1 THEN CASE WHEN {d} > 0.01 AND {d} < 0.9999 THEN r * (1 - {d}) ELSE 0.5 END ELSE 0.5 END::DOUBLE AS lost
+  FROM (SELECT a, CASE WHEN a[1] > 0 THEN 6 * a[6] / a[1]::DOUBLE ELSE 1 END AS rest FROM n{name}), range(1, 6) x(r))"""
+
+
+OP9_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, COALESCE({_CRC} % 7 = 2, false) AS held_out,
+    list_append({_WORDS.format("translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, '') AS w FROM documents),
+t AS MATERIALIZED (SELECT r, held_out, w[i] AS v, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS u FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS MATERIALIZED (SELECT v, count(*) AS c FROM t WHERE NOT held_out GROUP BY v),
+c2 AS MATERIALIZED (SELECT u, v, count(*) AS c FROM t WHERE NOT held_out GROUP BY u, v),
+{_lost("1", "c1")},
+{_lost("2", "c2")},
+p1 AS MATERIALIZED (SELECT v, c, (c - COALESCE(lost, 0.01)) / nn AS p, COALESCE(lost, 0.01) / nn AS gone FROM c1 LEFT JOIN l1 ON c = r, n1),
+k AS (SELECT sum(gone) AS unknown FROM p1),
+s AS MATERIALIZED (SELECT u, sum(c2.c) AS cu, sum(COALESCE(lost, 0.01)) / sum(c2.c) / (1 - sum(p)) AS alpha FROM c2 LEFT JOIN l2 ON c = r JOIN p1 USING (v) GROUP BY u),
+q AS (SELECT t.r, p1.c IS NOT NULL AS known, log10((COALESCE(p1.c, 0) + 1) / (n1.nn + n1.nv + 1)::DOUBLE) AS base,
+    log10(CASE WHEN c2.c IS NOT NULL THEN (c2.c - COALESCE(lost, 0.01)) / cu ELSE COALESCE(alpha, 1) * COALESCE(p, unknown) END) AS score
+  FROM t LEFT JOIN p1 USING (v) LEFT JOIN c2 ON t.u = c2.u AND t.v = c2.v LEFT JOIN l2 ON c2.c = l2.r LEFT JOIN s ON t.u = s.u, n1, k)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, any_value(n1.nn) AS train_tokens, round(sum(base), 6) AS base_score, round(sum(score), 6) AS score
+FROM d JOIN q USING (r), n1 GROUP BY r, doc_id, held_out
+"""
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,4 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op5_license_scan": OP5_SQL,
+    "op9_katz_scoring": OP9_SQL,
     "op10_exact_top_k": OP10_SQL}
