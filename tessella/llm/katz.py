@@ -15,8 +15,8 @@ Distribution. The texts are read three times in the same partitions and cut into
    partition that asks.
 2. Knowing these counts, each group asks for its different pairs, sent by context, with its own counts of them. A part
    adds up the pairs and what alpha needs for each context, and answers in the same way. A context more frequent than
-   an eighth of a part (at most 8 times as many as parts, known from step 1) is spread over all parts by pair; the sums
-   of these few are added up in a table of their own.
+   an eighth of a part (at most 8 times as many as parts, known from step 1) is spread over parts in proportion, by pair;
+   the sums of these few, at most 16 times as many rows as parts, are added up in a table of their own.
 3. Each group reads its answers and evaluates every token: pair, else backoff, else unknown.
 A group moves its different words and pairs only, a byte or two each on the way back, and no text; every array belongs
 to one group and one part, so memory is bounded; nothing is capped. Lost tasks are run again from input and tables.
@@ -55,13 +55,26 @@ SUMS, OFTEN = -1, -2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, whole numbers in the narrowest kind that holds them, compressed."""
-    narrow = [a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8) if a.dtype == np.int64 else a for a in arrays]
+    """Arrays, compressed: whole numbers in the narrowest kind that holds them, hashes (ascending) as differences, byte by byte."""
+    narrow = []
+    for a in arrays:
+        if a.dtype == np.int64:
+            a = a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
+        elif a.dtype == np.uint64:
+            a = np.diff(a, prepend=np.zeros(1, np.uint64)).view(np.uint8).reshape(-1, 8).T.copy()
+        narrow.append(a)
     return zstandard.compress(pickle.dumps(narrow, 5), 1)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    return [a.astype(np.int64) if a.dtype.kind == "u" and a.dtype != np.uint64 else a for a in pickle.loads(zstandard.decompress(blob))]
+    out = []
+    for a in pickle.loads(zstandard.decompress(blob)):
+        if a.ndim == 2:
+            a = np.cumsum(np.ascontiguousarray(a.T).view(np.uint64).ravel(), dtype=np.uint64)
+        elif a.dtype.kind == "u":
+            a = a.astype(np.int64)
+        out.append(a)
+    return out
 
 
 def discounts(seen: np.ndarray) -> np.ndarray:
@@ -152,17 +165,17 @@ def _word_order(g: Group, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, _cuts(part[order], parts)
 
 
-def _answers(folder: str, pid: int) -> dict[int, dict[int, list[np.ndarray]]]:
-    """By group and part what a table answers to an input partition."""
+def _answers(folder: str, pid: int) -> dict[int, dict[int, bytes]]:
+    """By group and part what a table answers to an input partition, still packed."""
     files, path = pyarrow.fs.FileSystem.from_uri(f"{folder}/pid={pid}")
-    out: dict[int, dict[int, list[np.ndarray]]] = {}
+    out: dict[int, dict[int, bytes]] = {}
     if files.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
         return out
     for info in files.get_file_info(pyarrow.fs.FileSelector(path)):
         if info.base_name.endswith(".parquet"):
             t = pyarrow.parquet.read_table(info.path, filesystem=files, columns=["g", "part", "blob"], partitioning=None)
             for g, part, blob in zip(t["g"].to_pylist(), t["part"].to_pylist(), t["blob"].to_pylist()):
-                out.setdefault(g, {})[part] = unpack(blob)
+                out.setdefault(g, {})[part] = blob
     return out
 
 
@@ -171,9 +184,9 @@ def _fit(size: int, got: int) -> None:
         raise RuntimeError("the texts came in other partitions than before: use stored=False")
 
 
-def _word_counts(g: Group, answers: dict[int, list[np.ndarray]], parts: int) -> np.ndarray:
+def _word_counts(g: Group, answers: dict[int, bytes], parts: int) -> np.ndarray:
     order, _ = _word_order(g, parts)
-    found = [answers[p][0] for p in sorted(answers)]
+    found = [unpack(answers[p])[0] for p in sorted(answers)]
     got = np.concatenate(found) if found else np.zeros(0, np.int64)
     _fit(len(order), len(got))
     out = np.zeros(len(order), np.int64)
@@ -186,8 +199,8 @@ def _pair_order(g: Group, c: np.ndarray, parts: int, often: float) -> tuple:
     u, v, which, n = g.pairs()
     hashes = g.context_hashes()
     total = _contexts(g, c)
-    spread = total[u] > often
-    part = np.where(spread, mix(hashes[u] * np.uint64(BASE) + g.word[v]) % np.uint64(parts), hashes[u] % np.uint64(parts)).astype(np.int64)
+    over = np.maximum(np.ceil(total[u] / often), 1).astype(np.uint64)
+    part = ((hashes[u] % np.uint64(parts) + mix(hashes[u] * np.uint64(BASE) + g.word[v]) % over) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -329,7 +342,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 own = slice(cut[p], cut[p + 1])
                 if cut[p] == cut[p + 1]:
                     continue
-                blob = got.get(p, [np.zeros(0)])
+                blob = unpack(got[p]) if p in got else [np.zeros(0)]
                 _fit(cut[p + 1] - cut[p], len(blob[0]))
                 pair[own] = blob[0]
                 context = np.unique(u[own])
