@@ -99,18 +99,13 @@ class IvfIndex:
         self.codes, self.centroids = rows.mapInArrow(run, CODES), centroids.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("centroid").cast("array<double>").alias("centroid"))
         return self
 
-    def search(self, queries: DataFrame, k: int, nprobe: int, lut_bits: int | None = None, bounds: bool = False) -> DataFrame:
-        """(qid, rank, vec_id, distance) by estimate over the nprobe nearest lists of queries (qid, q).
-
-        lut_bits 8 or 16: one-bit products through tables of so many bits; None: exact. bounds: candidates' lower bounds
-        in place of estimates (for re-ranking).
-        """
+    def _probing(self, nprobe: int) -> tuple:
+        """Codes, ids and centroids of the lists, the lists that each query asks, and the pruning of the codes for a block."""
         self._need()
         if nprobe < 1:
             raise ValueError("nprobe below 1")
         found = list(cluster.centroid_blocks(self.centroids))
         cids, c = np.concatenate([i for i, _ in found]), np.concatenate([x for _, x in found])
-        rotation, bits, metric = self.rotation, self.bits, self.metric
 
         def probes(q: np.ndarray) -> list[np.ndarray]:
             return [scan.best(cids, ((c - one) ** 2).sum(1), min(nprobe, len(cids))) for one in q]
@@ -118,6 +113,50 @@ class IvfIndex:
         def narrow(table: DataFrame, _, q: np.ndarray) -> DataFrame:
             return table.where(F.col("cluster_id").isin(sorted({int(cids[i]) for p in probes(q) for i in p})))
 
+        return self.codes, cids, c, probes, narrow
+
+    def candidates(self, queries: DataFrame, k: int, nprobe: int, slack: float = 1.0) -> DataFrame:
+        """(qid, vec_id, low, high): rows of the probed lists whose lower bound is at most the k-th least upper bound seen in their task; metrics.bounded finishes the job. slack widens the bounds."""
+        table, cids, c, probes, _ = self._probing(nprobe)
+        rotation, bits, metric = self.rotation, self.bits, self.metric
+        shape = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+
+        def maker(ids: np.ndarray, q: np.ndarray):
+            rotated, centres = rotation(q), rotation(c)
+            asks: dict[int, list[int]] = {}
+            for i, p in enumerate(probes(q)):
+                for at in p:
+                    asks.setdefault(int(at), []).append(i)
+
+            def run(batches):
+                kept = [np.zeros((0, 3)) for _ in ids]
+                for batch in batches:
+                    own, lists_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    for cid in np.unique(lists_):
+                        at, rows = int(np.searchsorted(cids, cid)), np.flatnonzero(lists_ == cid)
+                        codes = unpack_rows(batch.take(pa.array(rows)), rotation.size, bits)
+                        for i in asks.get(at, ()):
+                            _, _, full, low = K.estimates(codes, rotated[i], *K.centre_terms(rotated[i], centres[at], metric))
+                            width = (full - low) * slack
+                            now = np.concatenate([kept[i], np.column_stack([own[rows], full - width, full + width])])
+                            bar = np.partition(now[:, 2], k - 1)[k - 1] if len(now) >= k > 0 else np.inf
+                            kept[i] = now[now[:, 1] <= bar]
+                for qid, x in zip(ids, kept):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), qid)), pa.array(x[:, 0].astype(np.int64)), pa.array(x[:, 1]), pa.array(x[:, 2])], schema=shape)
+
+            return run
+
+        return scan.each(table, scan.query_blocks(queries), maker, "qid long, vec_id long, low double, high double")
+
+    def search(self, queries: DataFrame, k: int, nprobe: int, lut_bits: int | None = None, bounds: bool = False) -> DataFrame:
+        """(qid, rank, vec_id, distance) by estimate over the nprobe nearest lists of queries (qid, q).
+
+        lut_bits 8 or 16: one-bit products through tables of so many bits; None: exact. bounds: candidates' lower bounds
+        in place of estimates (for re-ranking).
+        """
+        table, cids, c, probes, narrow = self._probing(nprobe)
+        rotation, bits, metric = self.rotation, self.bits, self.metric
+
         def scorer(_, q: np.ndarray):
             rotated, centres = rotation(q), rotation(c)
             asks: dict[int, list[int]] = {}
@@ -142,7 +181,7 @@ class IvfIndex:
 
             return step
 
-        return scan.search(self.codes, scan.query_blocks(queries), k, scorer, narrow)
+        return scan.search(table, scan.query_blocks(queries), k, scorer, narrow)
 
     def save(self, path: str) -> None:
         self._need()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,27 +53,40 @@ def exact_knn(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2", w
 def within(data: DataFrame, queries: DataFrame, radius: float, metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(qid, vec_id, distance): every row within a radius of a query, from blocks of queries against all rows."""
     _check(metric, 0)
-    found = None
     table = data.select(F.col(id_col).cast("long").alias("vec_id"), vec_col)
-    scan.importable(data.sparkSession)
-    for ids, q in scan.query_blocks(queries):
-        held = data.sparkSession.sparkContext.broadcast((ids, q))
 
-        def run(batches, held=held):
-            import pyarrow as pa
-
-            qids, qs = held.value
+    def maker(ids: np.ndarray, q: np.ndarray):
+        def run(batches):
             for batch in batches:
-                own, x = batch.column(0).to_numpy(), scan.matrix(batch.column(1), qs.shape[1])
-                for i, one in enumerate(qs):
+                own, x = batch.column(0).to_numpy(), scan.matrix(batch.column(1), q.shape[1])
+                for i, one in enumerate(q):
                     d = pairwise(x, one, metric)
                     near = np.flatnonzero(d <= radius)
                     if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), qids[i])), pa.array(own[near]), pa.array(d[near])], schema=scan.NO_HITS)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[i])), pa.array(own[near]), pa.array(d[near])], schema=scan.NO_HITS)
+
+        return run
+
+    return scan.each(table, scan.query_blocks(queries), maker, scan.HITS)
+
+
+def hamming_within(bits: DataFrame, queries: DataFrame, most: int, id_col: str = "vec_id", words_col: str = "w") -> DataFrame:
+    """(qid, vec_id, bits, common): rows whose packed words differ from a query's (qid, q: words) in at most so many bits, and the bits that both have set."""
+
+    def maker(ids: np.ndarray, q: np.ndarray):
+        def run(batches):
+            asked = q.astype(np.uint64)
+            for batch in batches:
+                own, w = batch.column(0).to_numpy(), scan.matrix(batch.column(1), q.shape[1]).astype(np.uint64)
+                for i, one in enumerate(asked):
+                    d = np.bitwise_count(w ^ one).sum(1).astype(np.int32)
+                    near = np.flatnonzero(d <= most)
+                    if len(near):
+                        yield pa.RecordBatch.from_pydict({"qid": np.full(len(near), ids[i]), "vec_id": own[near], "bits": d[near], "common": np.bitwise_count(w[near] & one).sum(1).astype(np.int32)})
+
+        return run
 
-        hits = table.mapInArrow(run, scan.HITS)
-        found = hits if found is None else found.unionByName(hits)
-    return data.sparkSession.createDataFrame([], scan.HITS) if found is None else found
+    return scan.each(bits.select(F.col(id_col).cast("long").alias("vec_id"), words_col), scan.query_blocks(queries), maker, "qid long, vec_id long, bits int, common int")
 
 
 def knn_by(data: DataFrame, query: list[float], k: int, distance: Callable[[Column, Column], Column], id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

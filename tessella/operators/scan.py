@@ -120,3 +120,19 @@ def search(table: DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], k
     if found is None:
         found = spark.createDataFrame([], HITS)
     return ranked(found, k)
+
+
+def each(table: DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], maker: Callable, schema: str) -> DataFrame:
+    """Rows of table against blocks of queries. maker(ids, q) gives, in a worker, a function of all its batches that yields batches of the schema."""
+    spark = table.sparkSession
+    importable(spark)
+    found = None
+    for ids, q in queries:
+        held = spark.sparkContext.broadcast((ids, q))  # at most a block
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            yield from maker(*held.value)(b for b in batches if b.num_rows)
+
+        rows = table.mapInArrow(run, schema)
+        found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], schema) if found is None else found

@@ -28,7 +28,7 @@ PARTS = {
     "e": "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings",
     "s": "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 5)) AS v FROM embeddings",
     "c": f"SELECT label AS cid, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, {DIM + 1}) t(i) GROUP BY label, i) GROUP BY label",
-    "p": f"SELECT vec_id, v, c, list_transform(range(1, {DIM + 1}), lambda i: v[i] - c[i]) AS r FROM e JOIN c ON label = cid",
+    "p": f"SELECT vec_id, label, v, c, list_transform(range(1, {DIM + 1}), lambda i: v[i] - c[i]) AS r FROM e JOIN c ON label = cid",
     "q": "SELECT vec_id AS qid, v AS q FROM e WHERE vec_id % 50 = 0",
     "sq": "SELECT vec_id AS qid, v AS q FROM s WHERE vec_id % 50 = 0",
     "near": "SELECT vec_id, arg_min(cid, (d, cid)) AS cluster_id FROM (SELECT vec_id, cid, power(list_distance(v, c), 2) AS d FROM e, c) GROUP BY vec_id",
@@ -62,7 +62,7 @@ def c(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p(spark: SparkSession, d: str) -> DataFrame:
-    """(vec_id, v, c): vectors with the mean of their label. The few means are shuffled to nobody: the planner broadcasts them when it has seen their size."""
+    """(vec_id, v, c): vectors with the mean of their label; the planner broadcasts the means once it has seen their size."""
     x = e(spark, d)
     means = c(spark, d)
     return x.join(means, x.label == means.cid).select("vec_id", "v", "c")
@@ -174,9 +174,8 @@ def pack_sign_bits(spark, d):
 @query(sql("e q", "SELECT qid, vec_id, d AS bits, c AS common FROM (SELECT qid, vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (v[i] > 0) <> (q[i] > 0) THEN 1 ELSE 0 END))::INTEGER AS d, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN v[i] > 0 AND q[i] > 0 THEN 1 ELSE 0 END))::INTEGER AS c FROM q, e) WHERE d <= 20"))
 def popcount_hamming(spark, d):
     x = e(spark, d).select("vec_id", V.pack_bits(V.sign_bits(F.col("v"))).alias("w"))
-    ask = x.where(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("qid"), F.col("w").alias("qw"))
-    met = ask.join(x, V.hamming(F.col("w"), F.col("qw")) <= 20)  # the query set against all rows
-    return met.select("qid", "vec_id", V.hamming(F.col("w"), F.col("qw")).alias("bits"), V.common_bits(F.col("w"), F.col("qw")).alias("common"))
+    ask = x.where(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("qid"), F.col("w").alias("q"))
+    return knn.hamming_within(x, ask, 20)
 
 
 @query(sql("e", "SELECT vec_id, bit_count(w)::INTEGER AS ones, list_sum(list_transform(range(0, 32), lambda i: ((w >> i::INTEGER) & 1) << (31 - i)::INTEGER))::BIGINT AS reversed FROM (SELECT vec_id, " + WORD.format(1) + " AS w FROM e)"))
@@ -390,22 +389,22 @@ def reconstruct_mse(spark, d):
 
 
 def _estimates(spark, d, bits, metric) -> DataFrame:
-    """Every query against every vector, about the vector's own centre, as Column arithmetic over encoded rows."""
-    x = p(spark, d)
-    k = quantize.encode(x, bits, metric, True).join(x, "vec_id")
-    ask = q(e(spark, d))
-    met = ask.join(k)  # the query set against all rows
-    d2, ip = V.squared_l2(F.col("q"), F.col("c")), V.dot(F.col("sign"), F.col("q"))
+    """Every vector against its label's query, the label's vector of least id, about the label's centre: Column arithmetic over encoded rows."""
+    x, means = e(spark, d), c(spark, d)
+    asked = x.groupBy("label").agg(F.min_by("v", "vec_id").alias("q"), F.min("vec_id").alias("qid"))
+    rows = x.join(means, x.label == means.cid).select("vec_id", "v", "c", "label")
+    k = quantize.encode(rows, bits, metric, True).join(rows.select("vec_id", "c", "label"), "vec_id").join(asked, "label")
+    d2, ip, total = V.squared_l2(F.col("q"), F.col("c")), V.dot(F.col("sign"), F.col("q")), V.total(F.col("q"))
     g_add, g_error = (d2 if metric == "l2" else -V.dot(F.col("q"), F.col("c"))), F.sqrt(d2)
-    total = V.total(F.col("q"))
     one = F.col("f_add") + g_add + F.col("f_rescale") * (ip - 0.5 * total)
     full = F.col("f_add_ex") + g_add + F.col("f_rescale_ex") * ((1 << (bits - 1)) * ip + V.dot(F.col("code"), F.col("q")) - ((1 << bits) - 1) / 2 * total)
-    return met.select("qid", "vec_id", one.alias("one"), full.alias("full"), (F.col("f_error") * g_error).alias("error"))
+    return k.select("qid", "vec_id", one.alias("one"), full.alias("full"), (F.col("f_error") * g_error).alias("error"))
 
 
 def estimate_sql(metric: str, u: str, value: str) -> str:
     g = "power(list_distance(q, c), 2)" if metric == "l2" else "-list_inner_product(q, c)"
-    return sql("e c p q", f"SELECT qid, vec_id, {value} FROM (SELECT qid, vec_id, f_add + {g} + f_rescale * list_inner_product(u, q) AS est, f_error * list_distance(q, c) AS error FROM q, (SELECT *, {factor_sql(metric, 'u')} FROM (SELECT *, {u} AS u FROM (SELECT *, sqrt(list_inner_product(r, r)) AS norm FROM p))))")
+    q = "(SELECT label, arg_min(v, vec_id) AS q, min(vec_id) AS qid FROM e GROUP BY label)"
+    return sql("e c p", f"SELECT qid, vec_id, {value} FROM (SELECT qid, vec_id, f_add + {g} + f_rescale * list_inner_product(u, q) AS est, f_error * list_distance(q, c) AS error FROM {q} JOIN (SELECT *, {factor_sql(metric, 'u')} FROM (SELECT *, {u} AS u FROM (SELECT *, sqrt(list_inner_product(r, r)) AS norm FROM p))) USING (label))")
 
 
 @query(estimate_sql("l2", U1, "round(est, 6) + 0.0::DOUBLE AS estimate"))
@@ -476,9 +475,8 @@ def ivf_search_ip(spark, d):
 @query(sql("e q", KNN.format(f"SELECT qid, vec_id, {L2} AS d FROM q, e")))
 def rerank_bounded(spark, d):
     """Candidates whose lower bound passes the k-th upper bound, by exact distance: the exact answer where the bounds hold."""
-    x = e(spark, d)
-    k = _estimates(spark, d, 5, "l2").withColumn("error", F.col("error") / 4)
-    left = metrics.bounded(k, 10, F.col("full") - F.col("error"), F.col("full") + F.col("error"))
+    index, x = _ivf(spark, d, "l2")
+    left = metrics.bounded(index.candidates(q(x), 10, 10, slack=4.0), 10)
     return metrics.rerank(left, x, q(x), 10, vec_col="v").withColumn("distance", r6(F.col("distance")))
 
 
