@@ -225,7 +225,7 @@ def _part_rows(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple], list[lis
 def _stored(df: DataFrame, parts: int) -> str:
     """Writes answers, by the input partition that asked; gives the folder."""
     folder = f"{shared_dir(df.sparkSession)}/counts-{uuid.uuid4().hex}"
-    df.repartition(parts, "pid").write.partitionBy("pid").parquet(folder)
+    df.repartitionById(parts, F.pmod(F.col("pid"), F.lit(parts))).write.partitionBy("pid").parquet(folder)
     return folder
 
 
