@@ -206,7 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label:
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     known = known if usable is None else known.where(usable)
     known = known.select(F.col(id_col).alias("own"), F.col(label).cast("int").alias("y")).groupBy("own").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("own"), "own").limit(sample_rows)
+    # only hashes that can be among the least are ordered: else each task would send sample_rows rows to the driver
+    share = (1.2 * sample_rows + 2000) / max(1, known.count())
+    near = known if share >= 1 else known.where(F.xxhash64("own") <= F.lit(int(share * 2.0**64) - (1 << 63)))
+    chosen = near.orderBy(F.xxhash64("own"), "own").limit(sample_rows)
     few = docs.join(F.broadcast(chosen), docs[id_col] == chosen.own).select(docs[id_col], docs[text_col])  # bounded by sample_rows
     x = features(few, id_col, text_col).groupBy("id").agg(F.min("x").alias("x"))
     rows = x.join(F.broadcast(chosen), x.id == chosen.own).select("id", "x", "y").toPandas().sort_values("id")
