@@ -36,13 +36,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id (five words, up to MOST_BITS bits)."""
-    classes = simhash.classes(docs, k=5, most=MOST_BITS)
-    kept = reliable(classes.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("kept")).distinct())
-    # rows of one id are one document: the least of them stays
-    own = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    return own.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest]).select(*COLUMNS)
+    """One row of each group of near-duplicates, the one with the least id, null last, then the least hash of the row.
+
+    An id isn't a key: rows of one id are rows of their own.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_k1"), F.xxhash64(F.lit(11), *COLUMNS).alias("_k2"))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k1", "_k2").alias("key")
+    of = simhash.groups(rows.select(key, "text"), k=5, most=MOST_BITS)
+    kept = reliable(of.groupBy("component").agg(F.min("key").alias("key")).select(F.col("key._k1").alias("_k1"), F.col("key._k2").alias("_k2")))
+    # rows equal in all columns are one
+    return rows.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

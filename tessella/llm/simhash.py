@@ -125,3 +125,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     of = reliable(named.join(smallest, "root").select("fp", "component"))
     return got.join(of, "fp").select("id", "fp", "component")
+
+
+def groups(rows: DataFrame, k: int = 5, most: int = 3) -> DataFrame:
+    """(key, component long) of rows (key, text): the least fingerprint that links of up to so many bits reach."""
+    got = reliable(fingerprints(rows, "key", "text", k))
+    roots = reliable(components(links(got.select("fp").distinct(), most)))
+    return got.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("id").alias("key"), F.coalesce("root", "fp").alias("component"))
