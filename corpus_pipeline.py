@@ -38,7 +38,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, the one with the least id, null last, then the least hash of the row.
 
-    An id isn't a key: rows of one id are rows of their own.
+    Two rows are linked if their fingerprints differ in up to MOST_BITS bits or their sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more; every such pair is found. An id isn't a key: rows of one id are rows of their own.
     """
     rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_k1"), F.xxhash64(F.lit(11), *COLUMNS).alias("_k2"))
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k1", "_k2").alias("key")

@@ -60,8 +60,12 @@ def fingerprints_of(column: pa.Array, k: int) -> np.ndarray:
     """The fingerprint of each text of an Arrow string column."""
     data, offsets = raw(column)
     starts, ends, bounds = words(data, offsets)
-    digests, before = _digests(data, starts, ends, bounds, k)
-    out = np.zeros(len(offsets) - 1, np.uint64)
+    return _folded(*_digests(data, starts, ends, bounds, k))
+
+
+def _folded(digests: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The fingerprint of each document's shingles."""
+    out = np.zeros(len(before) - 1, np.uint64)
     full = np.flatnonzero(np.diff(before))
     step = 1 << 16
     sums = np.zeros((len(out), 64), np.int64)
@@ -128,7 +132,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def groups(rows: DataFrame, k: int = 5, most: int = 3) -> DataFrame:
-    """(key, component long) of rows (key, text): the least fingerprint that links of up to so many bits reach."""
-    got = reliable(fingerprints(rows, "key", "text", k))
-    roots = reliable(components(links(got.select("fp").distinct(), most)))
-    return got.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("id").alias("key"), F.coalesce("root", "fp").alias("component"))
+    """(key, component long) of rows (key struct with _k1, _k2, text): linked up to so many bits, or by a Jaccard similarity of their shingles of at least 4/5."""
+    from tessella.llm import jaccard
+
+    def run(batch: pa.RecordBatch) -> dict:
+        data, offsets = raw(batch.column(1))
+        digests, before = _digests(data, *words(data, offsets), k)
+        names = jaccard.names_of(*jaccard.distinct(digests, before))
+        return {"key": batch.column(0), "fp": pa.array(_folded(digests, before).view(np.int64)), "name": pa.array(names, pa.int64())}
+
+    kind = rows.schema["key"].dataType.simpleString()
+    got = reliable(map_text(rows.select("key", "text"), run, f"key {kind}, fp long, name long"))
+    fps = got.select("fp").distinct()
+    first = reliable(got.where("name is not null").groupBy("name").agg(F.min("fp").alias("fp"), F.min("key").alias("key")))
+    near = jaccard.near(rows, first.select("name", F.col("key._k1").alias("_k1"), F.col("key._k2").alias("_k2")), k)
+    alike = near.join(first.select(F.col("name").alias("u"), F.col("fp").alias("a")), "u").join(first.select(F.col("name").alias("v"), F.col("fp").alias("b")), "v")
+    same = got.join(first.select("name", F.col("fp").alias("b")), "name").where("fp <> b").select(F.col("fp").alias("u"), F.col("b").alias("v"))
+    roots = components(links(fps, most).union(alike.select(F.col("a").alias("u"), F.col("b").alias("v"))).union(same))
+    return got.join(reliable(roots), F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("component"))
