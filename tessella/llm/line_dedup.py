@@ -6,6 +6,8 @@ a hash of the whole row's text; rows equal in id and text are one document.
 1. Overlaps. Every line's hash is counted over documents. A line of several documents links each later one to the first
    that has it; a rare one (in at most RARE documents) to every earlier one. So the links of a line grow with its
    documents and not with their square, and none is left out: every common line meets its first holder.
+   With whole=True these links only choose the pairs: each chosen pair is then aligned over all lines that both have, by
+   joining the later one's frequent lines, once for each of its pairs, with those of the earlier.
 2. Alignment. For each pair of documents their common lines, with their places in both, are aligned by patience diff:
    equal ends, then lines that are single on both sides in longest ascending order, then the same between them.
 3. Aligned lines that follow each other in the later document (lines without words between them don't count) are a
@@ -99,7 +101,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("_k1", F.xxhash64(F.col(id_col), F.col(text_col))).withColumn("_k2", F.xxhash64(F.lit(11), F.col(text_col), F.col(id_col)))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """(_k1, _k2, _gone array<int>): the places, from 0, of the lines to delete, of every document that loses any."""
     rows = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text").where(F.col("text").isNotNull())
     numbered = F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(3), x).alias("g"), i.alias("at"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))), lambda x: x["words"] > 0)).alias("n", "line")
@@ -112,7 +114,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     few = common.where(F.col("docs") <= rare).select("h", "g", "doc", "places", "first")
     other = few.select("h", "g", F.col("doc").alias("earlier"), F.col("places.at").alias("before")).join(few, ["h", "g"])
     other = other.where((F.col("doc") > F.col("earlier")) & (F.col("earlier") > F.col("first.doc"))).select("doc", "earlier", "h", "g", "before", "places")
-    pairs = first.union(other).select(F.col("doc._k1").alias("_k1"), F.col("doc._k2").alias("_k2"), F.xxhash64("earlier").alias("other"), F.struct("h", "g").alias("key"), "before", "places")
+    shared = first.union(other).select(F.col("doc._k1").alias("_k1"), F.col("doc._k2").alias("_k2"), "earlier", "h", "g", "before", "places")
+    if whole:
+        chosen = shared.groupBy("_k1", "_k2").agg(F.collect_set("earlier").alias("earliers"))
+        often = common.where(F.col("docs") > rare).select("h", "g", "doc", "places", F.col("first.doc").alias("start"))
+        later = often.where(F.col("doc") > F.col("start")).select(F.col("doc._k1").alias("_k1"), F.col("doc._k2").alias("_k2"), F.struct("h", "g", "start", "places").alias("line"))
+        asked = chosen.join(later.groupBy("_k1", "_k2").agg(F.collect_list("line").alias("lines")), ["_k1", "_k2"]).select("_k1", "_k2", "lines", F.explode("earliers").alias("earlier"))
+        # a line that starts at the earlier one is among shared, one that starts after it isn't in it
+        asked = asked.select("_k1", "_k2", "earlier", F.explode(F.filter("lines", lambda x: x["start"] < F.col("earlier"))).alias("line")).select("_k1", "_k2", "earlier", "line.h", "line.g", "line.places")
+        rest = asked.join(often.select("h", "g", F.col("doc").alias("earlier"), F.col("places.at").alias("before")), ["h", "g", "earlier"])
+        shared = shared.union(rest.select("_k1", "_k2", "earlier", "h", "g", "before", "places"))
+    pairs = shared.select("_k1", "_k2", F.xxhash64("earlier").alias("other"), F.struct("h", "g").alias("key"), "before", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, doc, shared, gone, out = None, None, [], set(), []
@@ -150,9 +162,9 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"_k1": pa.array([x[0] for x in out], pa.int64()), "_k2": pa.array([x[1] for x in out], pa.int64()), "_gone": pa.array([x[2] for x in out], pa.list_(pa.int32()))})
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """docs with the deleted lines cut from text_col, and a struct lines_ of n_lines and n_removed."""
-    lost = removals(docs, id_col, text_col, rare, min_words)
+    lost = removals(docs, id_col, text_col, rare, min_words, whole)
     lost = lost.select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), "_gone")
     own = docs.select(*docs.columns, F.xxhash64(F.col(id_col), F.col(text_col)).alias("_line1"), F.xxhash64(F.lit(11), F.col(text_col), F.col(id_col)).alias("_line2"))
     met = own.join(lost, (own._line1 == lost._r1) & (own._line2 == lost._r2), "left")

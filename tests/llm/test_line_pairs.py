@@ -1,0 +1,59 @@
+import random
+import re
+
+from tessella.llm import line_dedup
+from tessella.llm.line_dedup import patience
+
+SCHEMA = "doc_id long, text string"
+
+
+def n_words(x):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", x))
+
+
+def brute(texts, rare, min_words):
+    """Pairs by their rare lines and first holders, each aligned over all lines of both."""
+    lines = [t.split("\n") for t in texts]
+    holders = {}
+    for d, own in enumerate(lines):
+        for x in {x for x in own if n_words(x)}:
+            holders.setdefault(x, []).append(d)
+    out = []
+    for d, own in enumerate(lines):
+        full = [(p, x) for p, x in enumerate(own) if n_words(x)]
+        number = {p: n for n, (p, _) in enumerate(full)}
+        gone = set()
+        for e in range(d):
+            common = {x for _, x in full if e in holders[x]}
+            if not any(holders[x][0] == e or len(holders[x]) <= rare for x in common):
+                continue
+            b = [(p, x) for p, x in full if x in common]
+            block = []
+            for p in [*(b[j][0] for _, j in patience([x for x in lines[e] if x in common], [x for _, x in b])), None]:
+                if p is None or not block or number[p] != number[block[-1]] + 1:
+                    if sum(n_words(own[q]) for q in block) >= min_words:
+                        gone |= set(block)
+                    block = []
+                block.append(p)
+        out.append("\n".join(x for p, x in enumerate(own) if p not in gone))
+    return out
+
+
+def same(spark, texts, rare):
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup(df, rare=rare, whole=True).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, rare, 3)
+    return got
+
+
+def test_pairs_are_aligned_over_all_common_lines(spark):
+    r = random.Random(8)
+    pool = [f"line {i} of the pool" for i in range(12)] + ["x", "a b", "Les.", "And so.", "", " "]
+    texts = ["\n".join(r.choices(pool, k=r.randrange(10))) for _ in range(60)]
+    for rare in (0, 4):
+        same(spark, texts, rare)
+
+
+def test_a_copy_loses_its_frequent_short_line(spark):
+    texts = ["Les.", *(f"own {i} text\nLes." for i in range(6)), "p q r s\nLes.\nt u v w", "p q r s\nLes.\nt u v w"]
+    assert same(spark, texts, 4)[8] == ""
