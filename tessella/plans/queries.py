@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import columns as V
 from tessella.functions import kernels as K
-from tessella.operators import cluster, graphs, knn, metrics, quantize
+from tessella.operators import cluster, graphs, knn, metrics, quantize, scan
 from tessella.operators.ivf import IvfIndex, storage
 from tessella.sources import vecfiles
 
@@ -528,9 +528,18 @@ def qg_edge_codes(spark, d):
     """Neighbours quantized on one bit about their vertex."""
     x, edges = e(spark, d), _edges(spark, d)
     met = edges.join(x.select(F.col("vec_id").alias("src"), F.col("v").alias("c")), "src").join(x.select(F.col("vec_id").alias("dst"), "v"), "dst")
-    k = quantize.encode(met.select((F.col("src") * 1_000_003 + F.col("dst")).alias("vec_id"), "v", "c"), 1)
-    ids = F.col("vec_id")
-    return k.select(F.floor(ids / 1_000_003).alias("src"), F.pmod(ids, F.lit(1_000_003)).alias("dst"), *[r6(F.col(f)).alias(f) for f in ("f_add", "f_rescale", "f_error")])
+    return _edge_codes(met)
+
+
+def _edge_codes(met: DataFrame) -> DataFrame:
+    """(src, dst, v, c) -> (src, dst, factors): both ids stay whole."""
+
+    def f(b) -> dict:
+        one = K.encode(scan.matrix(b.column(2)), scan.matrix(b.column(3)), 1, "l2", False).one
+        return {"src": b.column(0), "dst": b.column(1), **{n: one[n] for n in ("f_add", "f_rescale", "f_error")}}
+
+    k = quantize.batches(met.select("src", "dst", "v", "c"), f, "src long, dst long, f_add double, f_rescale double, f_error double")
+    return k.select("src", "dst", *[r6(F.col(n)).alias(n) for n in ("f_add", "f_rescale", "f_error")])
 
 
 @query("SELECT level::INTEGER AS level, count(*) AS n FROM (SELECT floor(-ln(u) / ln(16)) AS level FROM (SELECT ((vec_id * 48271 + 100) % 2147483647 + 1) / 2147483648.0::DOUBLE AS u FROM embeddings)) GROUP BY level")
