@@ -137,7 +137,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of every document, cut at the lines aligned with earlier ones."""
-    got = line_dedup.dedup(_table(spark, sf_dir, "documents"), whole=True)
+    got = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "lines_.n_lines", "lines_.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import map_text, raw, reliable
+from tessella.llm._shared import map_text, raw, reliable, table
 from tessella.llm._tokens import LOWER, words
 from tessella.llm.components import components
 
@@ -132,21 +132,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def groups(rows: DataFrame, k: int = 5, most: int = 3) -> DataFrame:
-    """(key, component long) of rows (key struct with _k1, _k2, text): linked up to so many bits, or by a Jaccard similarity of their shingles of at least 4/5."""
+    """(key, component long) of rows (key struct, text): linked up to so many bits, or by a Jaccard similarity of their shingles of at least 4/5."""
     from tessella.llm import jaccard
 
     def run(batch: pa.RecordBatch) -> dict:
         data, offsets = raw(batch.column(1))
         digests, before = _digests(data, *words(data, offsets), k)
-        names = jaccard.names_of(*jaccard.distinct(digests, before))
-        return {"key": batch.column(0), "fp": pa.array(_folded(digests, before).view(np.int64)), "name": pa.array(names, pa.int64())}
+        values, sets = jaccard.distinct(digests, before)
+        return {"key": batch.column(0), "fp": pa.array(_folded(digests, before).view(np.int64)), "name": pa.array(jaccard.names_of(values, sets), pa.int64()), "n": pa.array(np.diff(sets))}
 
     kind = rows.schema["key"].dataType.simpleString()
-    got = reliable(map_text(rows.select("key", "text"), run, f"key {kind}, fp long, name long"))
-    fps = got.select("fp").distinct()
-    first = reliable(got.where("name is not null").groupBy("name").agg(F.min("fp").alias("fp"), F.min("key").alias("key")))
-    near = jaccard.near(rows, first.select("name", F.col("key._k1").alias("_k1"), F.col("key._k2").alias("_k2")), k)
-    alike = near.join(first.select(F.col("name").alias("u"), F.col("fp").alias("a")), "u").join(first.select(F.col("name").alias("v"), F.col("fp").alias("b")), "v")
+    got = table(map_text(rows.select("key", "text"), run, f"key {kind}, fp long, name long, n long"))
+    first = reliable(got.where("name is not null").groupBy("name").agg(F.min("fp").alias("fp"), F.first("n").alias("n")))
+    # sets that are equal, counted otherwise, may have several fingerprints
     same = got.join(first.select("name", F.col("fp").alias("b")), "name").where("fp <> b").select(F.col("fp").alias("u"), F.col("b").alias("v"))
-    roots = components(links(fps, most).union(alike.select(F.col("a").alias("u"), F.col("b").alias("v"))).union(same))
-    return got.join(reliable(roots), F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("component"))
+    roots = reliable(components(links(got.select("fp").distinct(), most).union(same)))
+    named = reliable(first.join(roots, F.col("fp") == F.col("node"), "left").select("name", "n", F.coalesce("root", "fp").alias("component")))
+    over = jaccard.joined(rows, named, k).select(F.col("node").alias("component"), F.col("root").alias("to"))
+    of = got.join(roots, F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("component"))
+    return of.join(over, "component", "left").select("key", F.coalesce("to", "component").alias("component"))
