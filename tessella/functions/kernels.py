@@ -18,6 +18,7 @@ EPS = 1.9
 #: Share of the sweep's end at which it starts, by ex bits.
 SWEEP_FROM = (0.0, 0.15, 0.20, 0.52, 0.59, 0.71, 0.75, 0.77, 0.81)
 SLACK = 1e-5
+PRIME = 2147483647
 
 
 def sign_of(seed: int, turn: int, i: np.ndarray | int):
@@ -98,8 +99,28 @@ def _orthogonal(size: int, seed: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).T
 
 
+def drawn(seed: int, i: np.ndarray, j: np.ndarray | int = 0) -> np.ndarray:
+    """A number from 0 to PRIME - 1 that depends on seed and the pair (i, j) only: a formula in whole numbers that SQL can repeat."""
+    h = (seed % PRIME * 48271 + (np.asarray(i, np.int64) % PRIME + 1) * 69621 + (np.asarray(j, np.int64) % PRIME + 1) * 40692) % PRIME
+    for c in (12345, 6789, 101):
+        h = (h * h + c) % PRIME
+    return h
+
+
+def drawn_int(lo: int, hi: int, seed: int, i: np.ndarray) -> np.ndarray:
+    """A number from lo to hi for each i."""
+    return lo + drawn(seed, i) % (hi - lo + 1)
+
+
+def gaussian_of(ids: np.ndarray, cols: int, seed: int = 42) -> np.ndarray:
+    """Rows of a seeded Gaussian matrix, each from its own number alone, so that any executor can make any row (Box and Muller)."""
+    i, j = np.asarray(ids, np.int64)[:, None], np.arange(cols)
+    u, v = (drawn(seed, i, 2 * j) + 1) / PRIME, drawn(seed, i, 2 * j + 1) / PRIME
+    return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+
+
 def gaussian(rows: int, cols: int, seed: int = 42) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(rows, cols))
+    return gaussian_of(np.arange(rows), cols, seed)
 
 
 def check_bits(bits: int) -> int:

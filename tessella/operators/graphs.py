@@ -90,13 +90,8 @@ def link(x: np.ndarray, start: dict[int, np.ndarray], most: int, metric: str) ->
 
 
 def levels(ids: np.ndarray, m: int, seed: int) -> np.ndarray:
-    """floor(-ln(u) / ln(m)), u drawn from a hash of seed and id."""
-    with np.errstate(over="ignore"):
-        h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = h ^ (h >> np.uint64(29))
-    u = ((h >> np.uint64(11)).astype(np.float64) + 1) / float(1 << 53)
-    return np.floor(-np.log(u) / np.log(m)).astype(np.int64)
+    """floor(-ln(u) / ln(m)), u drawn by seed and id."""
+    return np.floor(-np.log((K.drawn(seed, ids) + 1) / K.PRIME) / np.log(m)).astype(np.int64)
 
 
 NODES = "shard int, vec_id long, level int, cluster_id int, code binary"

@@ -117,7 +117,7 @@ class IvfIndex:
 
     def candidates(self, queries: DataFrame, k: int, nprobe: int, slack: float = 1.0) -> DataFrame:
         """(qid, vec_id, low, high): rows of the probed lists whose lower bound is at most the k-th least upper bound seen in their task; metrics.bounded finishes the job. slack widens the bounds."""
-        table, cids, c, probes, _ = self._probing(nprobe)
+        table, cids, c, probes, narrow = self._probing(nprobe)
         rotation, bits, metric = self.rotation, self.bits, self.metric
         shape = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
@@ -146,7 +146,7 @@ class IvfIndex:
 
             return run
 
-        return scan.each(table, scan.query_blocks(queries), maker, "qid long, vec_id long, low double, high double")
+        return scan.each(table, scan.query_blocks(queries), maker, "qid long, vec_id long, low double, high double", narrow)
 
     def search(self, queries: DataFrame, k: int, nprobe: int, lut_bits: int | None = None, bounds: bool = False) -> DataFrame:
         """(qid, rank, vec_id, distance) by estimate over the nprobe nearest lists of queries (qid, q).

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella import importable
 from tessella.functions import kernels as K
+from tessella.operators import scan
 from tessella.operators.scan import lists, matrix
 
 
@@ -72,3 +73,22 @@ def best_scales(df: DataFrame, ex: int) -> DataFrame:
         return {"vec_id": b.column(0), "scale": np.array([K.best_scale(row / s, ex) if s else 0.0 for row, s in zip(r, size)])}
 
     return batches(df.select(F.col("vec_id").cast("long"), "v", "c"), f, "vec_id long, scale double")
+
+
+def estimates(df: DataFrame, queries: DataFrame, bits: int, metric: str = "l2", fast: bool = False) -> DataFrame:
+    """df (vec_id, v, c) against queries (qid, q), block by block -> (qid, vec_id, one, full, error): every row's one-bit and full estimate of its distance to every query, and the error bound of the first."""
+    K.check_bits(bits)
+    schema = "qid long, vec_id long, one double, full double, error double"
+
+    def maker(ids: np.ndarray, q: np.ndarray):
+        def run(parts):
+            for b in parts:
+                own, x, c = b.column(0), matrix(b.column(1)), matrix(b.column(2))
+                codes = K.encode(x, c, bits, metric, fast)
+                for i, one in enumerate(q):
+                    est, low, full, _ = K.estimates(codes, one, *K.centre_terms(one, c, metric))
+                    yield pa.RecordBatch.from_pydict({"qid": np.full(len(x), ids[i]), "vec_id": own, "one": est, "full": full, "error": est - low})
+
+        return run
+
+    return scan.each(df.select(F.col("vec_id").cast("long"), "v", "c"), scan.query_blocks(queries), maker, schema)

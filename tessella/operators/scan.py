@@ -122,8 +122,8 @@ def search(table: DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], k
     return ranked(found, k)
 
 
-def each(table: DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], maker: Callable, schema: str) -> DataFrame:
-    """Rows of table against blocks of queries. maker(ids, q) gives, in a worker, a function of all its batches that yields batches of the schema."""
+def each(table: DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], maker: Callable, schema: str, narrow: Callable | None = None) -> DataFrame:
+    """Rows of table against blocks of queries. maker(ids, q) gives, in a worker, a function of all its batches that yields batches of the schema; narrow prunes as in search."""
     spark = table.sparkSession
     importable(spark)
     found = None
@@ -133,6 +133,6 @@ def each(table: DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], mak
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             yield from maker(*held.value)(b for b in batches if b.num_rows)
 
-        rows = table.mapInArrow(run, schema)
+        rows = (narrow(table, ids, q) if narrow else table).mapInArrow(run, schema)
         found = rows if found is None else found.unionByName(rows)
     return spark.createDataFrame([], schema) if found is None else found

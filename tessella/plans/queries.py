@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as V
+from tessella.functions import integers
 from tessella.functions import kernels as K
 from tessella.operators import cluster, graphs, knn, metrics, quantize, scan
 from tessella.operators.ivf import IvfIndex, storage
@@ -206,15 +207,41 @@ def query_4bit_planes(spark, d):
     return x.select("vec_id", F.col("k")[0][0].alias("plane0"), F.col("k")[3][1].alias("plane3"))
 
 
-@query()
+def drawn_sql(seed: int, i: str, j: str = "0") -> str:
+    h = f"(({seed * 48271} + ({i} + 1)::BIGINT * 69621 + ({j} + 1)::BIGINT * 40692) % {K.PRIME})"
+    for k in (12345, 6789, 101):
+        h = f"list_transform([{h}], lambda h{k}: (h{k} * h{k} + {k}) % {K.PRIME})[1]"
+    return h
+
+
+@query(f"SELECT vec_id, 3 + {drawn_sql(42, 'vec_id')} % 15 AS n FROM embeddings")
 def random_integers(spark, d):
-    return e(spark, d).select("vec_id", V.hashed_int(3, 17, 42, F.col("vec_id")).alias("n"))
+    return quantize.batches(e(spark, d).select("vec_id"), lambda b: {"vec_id": b.column(0), "n": K.drawn_int(3, 17, 42, b.column(0).to_numpy())}, "vec_id long, n long")
 
 
-@query()
+_U, _V = (drawn_sql(42, "vec_id", f"(2 * j + {x})") for x in (0, 1))
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(range(0, 8), lambda j: sqrt(-2 * ln(({_U} + 1) / {K.PRIME}.0::DOUBLE)) * cos(2 * pi() * {_V} / {K.PRIME}.0::DOUBLE))), 6) + 0.0::DOUBLE AS total FROM embeddings")
 def gaussian_matrix(spark, d):
-    n = e(spark, d).count()
-    return vecfiles.from_numpy(spark, K.gaussian(n, 8, 42)).select("vec_id", r6(V.total(F.col("embedding"))).alias("total"))
+    """A row for each vector, made where the vector is."""
+    x = quantize.batches(e(spark, d).select("vec_id"), lambda b: {"vec_id": b.column(0), "v": scan.lists(K.gaussian_of(b.column(0).to_numpy(), 8, 42))}, "vec_id long, v array<double>")
+    return x.select("vec_id", r6(V.total(F.col("v"))).alias("total"))
+
+
+@query("SELECT n, (n + 6) // 7 AS sevenths, (n + 63) // 64 * 64 AS padded, length(bin(n)) - 1 AS floor_log2, CASE WHEN n & (n - 1) = 0 THEN length(bin(n)) - 1 ELSE length(bin(n)) END AS ceil_log2, n & (n - 1) = 0 AS power FROM (SELECT vec_id + 1 AS n FROM embeddings)")
+def integer_helpers(spark, d):
+    def f(b) -> dict:
+        n = b.column(0).to_pylist()
+        return {"n": n, "sevenths": [integers.ceil_div(x, 7) for x in n], "padded": [integers.padded(x) for x in n], "floor_log2": [integers.floor_log2(x) for x in n], "ceil_log2": [integers.ceil_log2(x) for x in n], "power": [integers.is_power_of_2(x) for x in n]}
+
+    return quantize.batches(e(spark, d).select((F.col("vec_id") + 1).alias("n")), f, "n long, sevenths long, padded long, floor_log2 long, ceil_log2 long, power boolean")
+
+
+@query("SELECT round(avg(embedding[1]::DOUBLE), 6) + 0.0::DOUBLE AS a, round(avg(embedding[2]::DOUBLE), 6) + 0.0::DOUBLE AS b FROM embeddings")
+def column_means(spark, d):
+    x = metrics.column_means(e(spark, d).select(F.col("v")[0].alias("a"), F.col("v")[1].alias("b")), "a", "b")
+    return x.select(r6(F.col("a")).alias("a"), r6(F.col("b")).alias("b"))
 
 
 # ---- means, clusters ----
@@ -288,10 +315,12 @@ def rotate_kac(spark, d):
     return x.select("vec_id", r6(V.checksum(F.col("v"))).alias("place_sum"))
 
 
-@query(sql("e", "SELECT vec_id, round(list_inner_product(v, v), 6) AS norm2 FROM e"))
+@query(sql("e c p", "SELECT vec_id, round(list_inner_product(v, v), 6) AS norm2, round(list_inner_product(v, c), 6) + 0.0::DOUBLE AS ip, true AS turned FROM p"))
 def rotate_matrix_norms(spark, d):
-    x = quantize.rotate(e(spark, d), K.Rotation(DIM, "matrix"))
-    return x.select("vec_id", r6(V.squared_norm(F.col("v"))).alias("norm2"))
+    """A rotation keeps norms and inner products (here with the label's mean), and moves every vector."""
+    x, turn = p(spark, d), K.Rotation(DIM, "matrix")
+    both = quantize.rotate(x, turn).join(quantize.rotate(x, turn, vec_col="c").withColumnRenamed("v", "w"), "vec_id").join(x.select("vec_id", F.col("v").alias("x")), "vec_id")
+    return both.select("vec_id", r6(V.squared_norm(F.col("v"))).alias("norm2"), r6(V.dot(F.col("v"), F.col("w"))).alias("ip"), (V.squared_l2(F.col("v"), F.col("x")) > 0.01).alias("turned"))
 
 
 # ---- quantizers ----
@@ -389,22 +418,13 @@ def reconstruct_mse(spark, d):
 
 
 def _estimates(spark, d, bits, metric) -> DataFrame:
-    """Every vector against its label's query, the label's vector of least id, about the label's centre: Column arithmetic over encoded rows."""
-    x, means = e(spark, d), c(spark, d)
-    asked = x.groupBy("label").agg(F.min_by("v", "vec_id").alias("q"), F.min("vec_id").alias("qid"))
-    rows = x.join(means, x.label == means.cid).select("vec_id", "v", "c", "label")
-    k = quantize.encode(rows, bits, metric, True).join(rows.select("vec_id", "c", "label"), "vec_id").join(asked, "label")
-    d2, ip, total = V.squared_l2(F.col("q"), F.col("c")), V.dot(F.col("sign"), F.col("q")), V.total(F.col("q"))
-    g_add, g_error = (d2 if metric == "l2" else -V.dot(F.col("q"), F.col("c"))), F.sqrt(d2)
-    one = F.col("f_add") + g_add + F.col("f_rescale") * (ip - 0.5 * total)
-    full = F.col("f_add_ex") + g_add + F.col("f_rescale_ex") * ((1 << (bits - 1)) * ip + V.dot(F.col("code"), F.col("q")) - ((1 << bits) - 1) / 2 * total)
-    return k.select("qid", "vec_id", one.alias("one"), full.alias("full"), (F.col("f_error") * g_error).alias("error"))
+    """Every query against every vector, about the vector's own centre, in bounded blocks of queries."""
+    return quantize.estimates(p(spark, d), q(e(spark, d)), bits, metric, True)
 
 
 def estimate_sql(metric: str, u: str, value: str) -> str:
     g = "power(list_distance(q, c), 2)" if metric == "l2" else "-list_inner_product(q, c)"
-    q = "(SELECT label, arg_min(v, vec_id) AS q, min(vec_id) AS qid FROM e GROUP BY label)"
-    return sql("e c p", f"SELECT qid, vec_id, {value} FROM (SELECT qid, vec_id, f_add + {g} + f_rescale * list_inner_product(u, q) AS est, f_error * list_distance(q, c) AS error FROM {q} JOIN (SELECT *, {factor_sql(metric, 'u')} FROM (SELECT *, {u} AS u FROM (SELECT *, sqrt(list_inner_product(r, r)) AS norm FROM p))) USING (label))")
+    return sql("e c p q", f"SELECT qid, vec_id, {value} FROM (SELECT qid, vec_id, f_add + {g} + f_rescale * list_inner_product(u, q) AS est, f_error * list_distance(q, c) AS error FROM q, (SELECT *, {factor_sql(metric, 'u')} FROM (SELECT *, {u} AS u FROM (SELECT *, sqrt(list_inner_product(r, r)) AS norm FROM p))))")
 
 
 @query(estimate_sql("l2", U1, "round(est, 6) + 0.0::DOUBLE AS estimate"))
@@ -432,14 +452,6 @@ def full_code_estimate(spark, d):
     return _estimates(spark, d, 5, "ip").select("qid", "vec_id", r6(F.col("full")).alias("estimate"))
 
 
-@query()
-def lut8_estimate(spark, d):
-    """One-bit estimates through 8-bit tables of the query."""
-    x = e(spark, d)
-    index = IvfIndex(DIM, 1).build(x.withColumnRenamed("label", "cluster_id"), centroids(spark, d), vec_col="v")
-    return index.search(q(x), 10, 10, lut_bits=8).withColumn("distance", r6(F.col("distance")))
-
-
 # ---- indexes ----
 
 
@@ -460,6 +472,23 @@ h AS (SELECT qid, vec_id, f_add + {g} + f_rescale * list_inner_product(u, q) AS
 SELECT qid, rank::INTEGER AS rank, vec_id, round(d, 6) + 0.0::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM h) WHERE rank <= 10"""
 
 
+LUT = f"""WITH {", ".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in ("e", "c"))}, ec AS (SELECT cid, c AS v FROM c), {rotated_sql('e')}, {rotated_sql('ec')},
+b AS (SELECT vec_id AS qid, v AS q, list_transform(range(0, 16), lambda j: v[4 * j + 1:4 * j + 4]) AS b FROM e4 WHERE vec_id % 50 = 0),
+t AS (SELECT *, list_min(list_transform(b, lambda x: list_sum(list_transform(x, lambda y: least(y, 0))))) AS lo, list_max(list_transform(b, lambda x: list_sum(list_transform(x, lambda y: greatest(y, 0))))) AS hi FROM b),
+p AS (SELECT vec_id, ec4.v AS c, list_transform(range(1, 65), lambda i: e4.v[i] - ec4.v[i]) AS r FROM e4 JOIN ec4 ON cid = label),
+k AS (SELECT vec_id, c, list_transform(u, lambda x: x + 0.5) AS bits, {factor_sql('l2', 'u')} FROM (SELECT *, {U1} AS u FROM p)),
+h AS (SELECT qid, vec_id, f_add + power(list_distance(q, c), 2) + f_rescale * (list_sum(list_transform(range(0, 16), lambda j: round((list_inner_product(bits[4 * j + 1:4 * j + 4], b[j + 1]) - lo) / ((hi - lo) / 255)))) * (hi - lo) / 255 + 16 * lo - 0.5 * list_sum(q)) AS d FROM t, k)
+SELECT qid, rank::INTEGER AS rank, vec_id, round(d, 6) + 0.0::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM h) WHERE rank <= 10"""
+
+
+@query(LUT)
+def lut8_estimate(spark, d):
+    """One-bit estimates through 8-bit tables of the query."""
+    x = e(spark, d)
+    index = IvfIndex(DIM, 1).build(x.withColumnRenamed("label", "cluster_id"), centroids(spark, d), vec_col="v")
+    return index.search(q(x), 10, 10, lut_bits=8).withColumn("distance", r6(F.col("distance")))
+
+
 @query(ivf_sql("l2"))
 def ivf_search_l2(spark, d):
     index, x = _ivf(spark, d, "l2")
@@ -476,35 +505,41 @@ def ivf_search_ip(spark, d):
 def rerank_bounded(spark, d):
     """Candidates whose lower bound passes the k-th upper bound, by exact distance: the exact answer where the bounds hold."""
     index, x = _ivf(spark, d, "l2")
-    left = metrics.bounded(index.candidates(q(x), 10, 10, slack=4.0), 10)
+    left = metrics.bounded(index.candidates(q(x), 10, 10), 10)
     return metrics.rerank(left, x, q(x), 10, vec_col="v").withColumn("distance", r6(F.col("distance")))
 
 
 TRUTH = f"SELECT qid, vec_id, d, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS n FROM (SELECT qid, vec_id, {L2} AS d FROM q, e)"
 
 
-@query()
+FOUND = f"t AS ({TRUTH}), i AS ({ivf_sql('l2')})"
+
+
+@query(sql("e q", f", {FOUND} SELECT t.qid, count(i.vec_id) / 10.0::DOUBLE AS recall FROM t LEFT JOIN i ON i.qid = t.qid AND i.vec_id = t.vec_id WHERE n <= 10 GROUP BY t.qid").replace("\n, t AS", ", t AS"))
 def recall_at_k(spark, d):
     index, x = _ivf(spark, d, "l2")
     truth = knn.exact_knn(x, q(x), 10, vec_col="v")
     return metrics.recall(index.search(q(x), 10, 4), truth, 10)
 
 
-@query(sql("e q", f", t AS ({TRUTH}), f AS (SELECT qid, d, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS n FROM t WHERE vec_id % 2 = 0) SELECT t.qid, round(avg(sqrt(f.d / t.d)) * 10, 6) AS ratio FROM t JOIN f ON t.qid = f.qid AND t.n = f.n WHERE t.n <= 10 AND t.d > 1e-5 GROUP BY t.qid").replace("\n, t AS", ", t AS"))
+@query(sql("e q", f", {FOUND}, f AS (SELECT qid, d, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS n FROM (SELECT t.* EXCLUDE n FROM t JOIN i USING (qid, vec_id))) SELECT t.qid, round(avg(sqrt(f.d / t.d)) * 10, 6) AS ratio FROM t JOIN f ON t.qid = f.qid AND t.n = f.n WHERE t.n <= 10 AND t.d > 1e-5 GROUP BY t.qid").replace("\n, t AS", ", t AS"))
 def distance_ratio(spark, d):
-    x = e(spark, d)
+    """The exact distances of what an index finds against the true ones."""
+    index, x = _ivf(spark, d, "l2")
     truth = knn.exact_knn(x, q(x), 10, vec_col="v")
-    found = knn.exact_knn(x, q(x), 10, where=F.pmod("vec_id", F.lit(2)) == 0, vec_col="v")
+    found = metrics.rerank(index.search(q(x), 10, 4), x, q(x), 10, vec_col="v")
     return metrics.distance_ratio(found, truth, 10).withColumn("ratio", r6(F.col("ratio")))
 
 
-EDGES = f"ed AS (SELECT qid AS src, vec_id AS dst FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS n FROM (SELECT qid, vec_id, {L2} AS d FROM q, e WHERE qid <> vec_id)) WHERE n <= 8)"
+DEGREE = 32
+EDGES = f"ed AS (SELECT src, dst FROM (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY power(list_distance(a.v, b.v), 2), b.vec_id) AS n FROM e a, e b WHERE a.vec_id <> b.vec_id) WHERE n <= {DEGREE})"
 
 
 def _edges(spark, d) -> DataFrame:
+    """The exact neighbours of every vertex: all rows are queries, block by block."""
     x = e(spark, d)
-    near = knn.exact_knn(x, q(x), 9, vec_col="v").where("qid <> vec_id")
-    return near.select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"))
+    near = knn.exact_knn(x, x.select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), DEGREE + 1, vec_col="v").where("qid <> vec_id")
+    return scan.ranked(near.drop("rank"), DEGREE).select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"))
 
 
 @query(sql("e q", f", {EDGES} SELECT DISTINCT * FROM (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed)").replace("\n, ed", ", ed"))
@@ -542,10 +577,9 @@ def _edge_codes(met: DataFrame) -> DataFrame:
     return k.select("src", "dst", *[r6(F.col(n)).alias(n) for n in ("f_add", "f_rescale", "f_error")])
 
 
-@query("SELECT level::INTEGER AS level, count(*) AS n FROM (SELECT floor(-ln(u) / ln(16)) AS level FROM (SELECT ((vec_id * 48271 + 100) % 2147483647 + 1) / 2147483648.0::DOUBLE AS u FROM embeddings)) GROUP BY level")
+@query(f"SELECT vec_id, floor(-ln(({drawn_sql(100, 'vec_id')} + 1) / {K.PRIME}.0::DOUBLE) / ln(16))::BIGINT AS level FROM embeddings")
 def hnsw_levels(spark, d):
-    u = (F.pmod(F.col("vec_id") * 48271 + 100, F.lit(2147483647)) + 1) / F.lit(2147483648.0)
-    return e(spark, d).select(V.drawn_level(u, 16).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
+    return quantize.batches(e(spark, d).select("vec_id"), lambda b: {"vec_id": b.column(0), "level": graphs.levels(b.column(0).to_numpy(), 16, 100)}, "vec_id long, level long")
 
 
 @query()
@@ -561,6 +595,28 @@ def qg_search(spark, d):
     return graphs.QuantizedGraph(DIM, shard=2000).build(x, 100, vec_col="v").search(q(x), 10, 100).withColumn("distance", r6(F.col("distance")))
 
 
+#: Share of the ten true neighbours that a graph must find, for every query.
+FLOOR = 0.7
+RECALLS = "SELECT vec_id AS qid, true AS found FROM embeddings WHERE vec_id % 50 = 0"
+
+
+def _found(spark, d, search) -> DataFrame:
+    x = e(spark, d)
+    return metrics.recall(search(spark, d), knn.exact_knn(x, q(x), 10, vec_col="v"), 10).select("qid", (F.col("recall") >= FLOOR).alias("found"))
+
+
+@query(RECALLS)
+def hnsw_recall(spark, d):
+    """Whether the search of layered graphs finds at least FLOOR of the true neighbours."""
+    return _found(spark, d, hnsw_search)
+
+
+@query(RECALLS)
+def qg_recall(spark, d):
+    """Whether the search of quantized graphs finds at least FLOOR of the true neighbours."""
+    return _found(spark, d, qg_search)
+
+
 @query("SELECT vec_id, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings")
 def fvecs_roundtrip(spark, d):
     folder = spark.conf.get("spark.checkpoint.dir", None)
