@@ -1,14 +1,14 @@
 """Exact top-k by inner product: a ball tree a shard, branch and bound, the kth score shared.
 
 Candidates are split by a hash into shards of about SHARD vectors, queries into blocks of about BLOCK. A first wave
-searches each block in one shard; its kth scores are exact lower bounds of the final ones and go into the second wave,
-which searches all other shards. Within a task the kth score of a query is carried on from shard to shard. In a tree,
+searches each block in one shard, the blocks spread evenly over the shards; its kth scores are exact lower bounds of the
+final ones and go into the second wave, which searches all other shards. Within a task the kth score of a query is carried on from shard to shard. In a tree,
 nodes are taken in the order of their bound <q, centre> + |q| radius, and a query leaves a tree when the best bound left
 is below its kth score (ties are searched, for the smaller id).
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do null ids; a query is
 compared with vectors of its own length only; a repeated id is another row, but every row with the query's id counts as
-its own; fewer candidates than k give fewer rows; an empty table gives none. Scores are exact (beyond 2 ** 53 in Python
+its own, and query rows equal in id and vector are one query; fewer candidates than k give fewer rows; an empty table gives none. Scores are exact (beyond 2 ** 53 in Python
 integers) and held within the range of a long.
 """
 
@@ -161,16 +161,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard: int = SHARD,
     packed = reliable(pack(rows.withColumn("kth", unknown).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))), "shard").withColumn("block", F.lit(-1).cast("long")))
     asked = rows.where(is_query).dropDuplicates(["id", "v"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)))
 
-    def wave(first: int, last: int, bars: DataFrame | None) -> DataFrame:
-        """The query set against the shards first to last: each block, bounded, goes once to each of them."""
+    def wave(first: bool, bars: DataFrame | None) -> DataFrame:
+        """Each block, bounded, in the shard of its number (first), or in all others."""
         q = asked.withColumn("kth", unknown) if bars is None else asked.join(bars.withColumnRenamed("query_id", "id"), "id", "left").withColumn("kth", F.coalesce("kth", unknown))
-        each = pack(q, "block").withColumn("shard", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
-        met = packed.where(F.col("shard").between(first, last)).unionByName(each)
-        return met.repartition(max(1, min(last - first + 1, 4096)), "shard").sortWithinPartitions("shard", "block").mapInArrow(_searcher(k), OUT)
+        own, packs = F.pmod("block", F.lit(shards)), pack(q, "block")
+        each = packs.withColumn("shard", own) if first else packs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where(F.col("shard") != own)
+        met = packed.unionByName(each)
+        return met.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", "block").mapInArrow(_searcher(k), OUT)
 
-    found = reliable(wave(0, 0, None))
+    found = reliable(wave(True, None))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     if shards > 1:
         bars = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
-        found = found.union(wave(1, shards - 1, bars))
+        found = found.union(wave(False, bars))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

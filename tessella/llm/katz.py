@@ -179,18 +179,26 @@ def _answers(folder: str, pid: int) -> dict[int, dict[int, bytes]]:
     return out
 
 
-def _fit(size: int, got: int) -> None:
-    if size != got:
+def _sum(x: np.ndarray) -> np.ndarray:
+    """A checksum of what is asked, as an array of one."""
+    return np.array([int(mix(x * np.uint64(BASE)).sum(dtype=np.uint64)) >> 1], np.int64)
+
+
+def _fit(asked: np.ndarray, answered: np.ndarray, size: int) -> None:
+    """An answer must have the size and the checksum of its question: texts that come in other groups are an error, never a wrong score."""
+    if len(asked) != size or _sum(asked)[0] != answered[0]:
         raise RuntimeError("the texts came in other partitions than before: use stored=False")
 
 
 def _word_counts(g: Group, answers: dict[int, bytes], parts: int) -> np.ndarray:
-    order, _ = _word_order(g, parts)
-    found = [unpack(answers[p])[0] for p in sorted(answers)]
-    got = np.concatenate(found) if found else np.zeros(0, np.int64)
-    _fit(len(order), len(got))
+    order, cut = _word_order(g, parts)
     out = np.zeros(len(order), np.int64)
-    out[order] = got
+    for p in range(parts):
+        own = order[cut[p] : cut[p + 1]]
+        got, check = unpack(answers[p]) if p in answers else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        if len(own) or len(got):
+            _fit(g.word[own], check, len(got))
+        out[own] = got
     return out
 
 
@@ -260,7 +268,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         yield _row(SUMS, 0, where[0][2], m=[*np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int((c > 0).sum()), int(c.sum())])
         first = 0
         for (pid, g, part), (w, _) in zip(where, blobs):
-            yield _row(pid, g, part, pack(c[at[first : first + len(w)]]))
+            yield _row(pid, g, part, pack(c[at[first : first + len(w)]], _sum(w)))
             first += len(w)
 
     asked = rows.mapInArrow(ask_words, ANSWER).repartitionById(parts, F.col("part"))
@@ -313,7 +321,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         at_pair = 0
         for (pid, g, part), blob in zip(where, blobs):
             i = np.searchsorted(context, blob[0])
-            yield _row(pid, g, part, pack(c[at[at_pair : at_pair + len(blob[5])]], *m[i].T, b[i]))
+            yield _row(pid, g, part, pack(c[at[at_pair : at_pair + len(blob[5])]], *m[i].T, b[i], _sum(blob[0])))
             at_pair += len(blob[5])
 
     asked = rows.mapInArrow(ask_pairs, ANSWER).repartitionById(parts, F.col("part"))
@@ -342,10 +350,14 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 own = slice(cut[p], cut[p + 1])
                 if cut[p] == cut[p + 1]:
                     continue
-                blob = unpack(got[p]) if p in got else [np.zeros(0)]
-                _fit(cut[p + 1] - cut[p], len(blob[0]))
-                pair[own] = blob[0]
                 context = np.unique(u[own])
+                if p not in got:
+                    raise RuntimeError("the texts came in other partitions than before: use stored=False")
+                blob = unpack(got[p])
+                _fit(hashes[context], blob[-1], len(blob[1]))
+                if cut[p + 1] - cut[p] != len(blob[0]):
+                    raise RuntimeError("the texts came in other partitions than before: use stored=False")
+                pair[own] = blob[0]
                 gone[context] = sum(w * m for w, m in zip(weights, blob[1 : K + 2]))
                 held[context] = blob[K + 2]
             if len(wide_u):

@@ -7,9 +7,11 @@ Words are [^\\x20\\x09-\\x0D]+, unchanged. What is to be removed is judged on th
 2. Equal texts are one from here on, with their number; a text is shuffled once.
 3. A run of windows with one recurring anchor is a segment; equal segments of an anchor are one, with their number. An
    anchor with more than HOT occurrences is split: each of its windows is then a segment under its own hash.
-4. Shards. All segments of an anchor meet in one task, which takes bounded groups of anchors: windows seen twice confirm
-   recurring passages (the words themselves are compared, not hashes), the passages are compiled into an Aho-Corasick
-   automaton over word numbers, and the segments are streamed through it to locate every occurrence.
+4. Shards. All segments of an anchor, of all documents, meet in one task, which takes bounded groups of anchors: passages
+   of WINDOW words that are counted twice are confirmed (the words themselves are compared, not hashes) and compiled, each
+   once, into Aho-Corasick automata of bounded size over word numbers; every segment is streamed through them to locate
+   every occurrence. A segment goes to the shard of its anchor only, where all that it can repeat is: no document needs to
+   meet the automata of other shards.
 5. Located ranges go back to the texts by the segments' hashes (128 bits), and the texts are cut.
 
 Defined cases: null text has no words; windows may overlap within a document (a word repeated 36 times is two equal
@@ -36,8 +38,8 @@ from tessella.llm._tokens import BASE, mix, word_hashes, words
 WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor above which its windows are told apart by their own hashes.
 HOT = 20_000
-#: Words of one automaton's segments.
-SHARD_WORDS = 200_000
+#: Words of the segments that are streamed through one shard's automata, and passages in one automaton.
+SHARD_WORDS, MACHINE = 200_000, 40_000
 
 
 def _slide(x: np.ndarray, w: int) -> np.ndarray:
@@ -185,7 +187,7 @@ def _split(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, WIDE)
 
 
-def automaton(passages: set[str]) -> ahocorasick.Automaton:
+def automaton(passages: list[str]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for x in passages:
         found.add_word(x)
@@ -193,40 +195,40 @@ def automaton(passages: set[str]) -> ahocorasick.Automaton:
     return found
 
 
-def locate(segments: list[str], counts: list[int], window: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """For each segment the ranges of words covered by windows that occur at least twice; counts: how often a segment stands."""
+def coded(segments: list[str]) -> list[str]:
+    """Each segment with a character for each word, the same for equal words."""
     numbers: dict[str, int] = {}
-    coded = []
+    out = []
     for s in segments:
         n = [numbers.setdefault(w, len(numbers)) for w in s.split(" ")]
-        coded.append("".join([chr(x + 1 if x < 0xD7FF else x + 0x801) for x in n]))  # no surrogates
+        out.append("".join([chr(x + 1 if x < 0xD7FF else x + 0x801) for x in n]))  # no surrogates
+    return out
+
+
+def confirmed(codes: list[str], counts: list[int], window: int) -> list[str]:
+    """Passages of window words that stand at least twice, each once; counts: how often a segment stands."""
     seen: Counter[str] = Counter()
-    for s, n in zip(coded, counts):
+    for s, n in zip(codes, counts):
         for i in range(len(s) - window + 1):
             seen[s[i : i + window]] += n
-    passages = set()
-    for s in coded:
-        begun = None
-        for i in range(len(s) - window + 2):
-            twice = i <= len(s) - window and seen[s[i : i + window]] > 1
-            if twice and begun is None:
-                begun = i
-            elif not twice and begun is not None:
-                passages.add(s[begun : i - 1 + window])
-                begun = None
-    if not passages:
-        return [[] for _ in coded]
-    machine = automaton(passages)
+    return [x for x, n in seen.items() if n > 1]
+
+
+def locate(segments: list[str], counts: list[int], window: int = WINDOW) -> list[list[tuple[int, int]]]:
+    """For each segment the ranges of words covered by confirmed passages, found by streaming every segment through automata of at most MACHINE passages."""
+    codes = coded(segments)
+    passages = confirmed(codes, counts, window)
+    ends: list[list[int]] = [[] for _ in codes]
+    for at in range(0, len(passages), MACHINE):
+        machine = automaton(passages[at : at + MACHINE])
+        for own, s in zip(ends, codes):
+            own += [last for last, _ in machine.iter(s)]
     out = []
-    for s in coded:
-        ranges: list[tuple[int, int]] = []
-        for last, length in machine.iter(s):
-            a, b = last - length + 1, last + 1
-            while ranges and ranges[-1][1] >= a:
-                a, b = min(a, ranges[-1][0]), max(b, ranges[-1][1])
-                ranges.pop()
-            ranges.append((a, b))
-        out.append(ranges)
+    for own in ends:
+        e = np.sort(np.array(own, np.int64))
+        cut = np.flatnonzero(np.diff(e) > window) + 1
+        first, last = e[np.append(0, cut)] if len(e) else e, e[np.append(cut, len(e)) - 1] if len(e) else e
+        out.append(list(zip((first - window + 1).tolist(), (last + 1).tolist())))
     return out
 
 

@@ -67,3 +67,17 @@ def test_texts_and_empty_table(spark):
     rows = [(1, f"x y {p} z", "", 0, ""), (2, f"{p}  q", "k", 1, "t"), (3, None, "", 0, ""), (4, "as  it\nis", "", 0, "")]
     got = {r.doc_id: r.text for r in phrases.cut_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: "x y z", 2: "q", 3: None, 4: "as  it\nis"}
+
+
+def test_occurrences_come_from_the_automata(spark, monkeypatch):
+    rows = corpus(3)[:40]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert any(r[2] for r in brute(rows, 35))
+    real = phrases.automaton
+    segments = ["a b c d e", "z a b c d", "q q q q q q"]
+    assert phrases.locate(segments, [1, 1, 1], 3) == [[(0, 4)], [(1, 5)], [(0, 6)]]
+    monkeypatch.setattr(phrases, "MACHINE", 1)
+    assert phrases.locate(segments, [1, 1, 1], 3) == [[(0, 4)], [(1, 5)], [(0, 6)]]
+    monkeypatch.setattr(phrases, "automaton", lambda _: real(["never in a text"]))
+    assert phrases.locate(segments, [1, 1, 1], 3) == [[], [], []]
+    assert phrases.cut(df).count() == len(rows)
