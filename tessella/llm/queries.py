@@ -92,28 +92,29 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).withColumnRenamed("id", "page_id")
 
 
-_BAGS = ", ".join(f"('{n}', '{b}')" for n, b in sorted(licenses.TEMPLATES.items()))
-_T = len(licenses.TEMPLATES)
+_BODIES = ", ".join("({}, '{}', '{}')".format(t, n, x.replace("'", "''")) for t, (n, x) in enumerate(licenses.listed(licenses.TEMPLATES)))
+_T = len(licenses.listed(licenses.TEMPLATES))
 
 OP5_SQL = rf"""
 WITH f AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id,
     regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS path,
     regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'),
       '(?i)<(/?(p|div|li|ul|ol|tr|td|h[1-6]|article|nav|footer|header|title|section)|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM pages),
-b AS (SELECT * FROM (VALUES {_BAGS}) b(license, bag)),
-tf AS (SELECT license, term, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(bag, '{licenses.TERM}')) AS term FROM b) GROUP BY license, term),
-idf AS (SELECT term, ln({1 + _T}::DOUBLE / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
-tw AS (SELECT license, term, (1 + ln(n)) * idf AS w FROM tf JOIN idf USING (term)),
-tn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY license),
-l AS (SELECT r, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.TELLS}')))) AS line FROM f),
+b AS (SELECT * FROM (VALUES {_BODIES}) b(t, license, body)),
+tf AS (SELECT t, license, term, count(*) AS n FROM (SELECT t, license, unnest(regexp_extract_all(lower(body), '{licenses.TERM}')) AS term FROM b) GROUP BY t, license, term),
+idf AS MATERIALIZED (SELECT term, ln({1 + _T}::DOUBLE / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+tw AS MATERIALIZED (SELECT t, license, term, (1 + ln(n)) * idf AS w FROM tf JOIN idf USING (term)),
+tn AS (SELECT t, sqrt(sum(w * w)) AS norm FROM tw GROUP BY t),
+g AS (SELECT r, path, text, list_filter(string_split_regex(text, '{licenses.PARAGRAPHS}'), lambda x: regexp_matches(x, '{licenses.TELLS}')) AS ps FROM f WHERE regexp_matches(text, '{licenses.TELLS}')),
+l AS (SELECT r, unnest(list_distinct(list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.TELLS}')), ps, [array_to_string(ps, chr(10))], CASE WHEN COALESCE(regexp_matches(path, '{licenses.LICENSE_FILE}'), false) THEN [text] ELSE [] END))) AS line FROM g),
 e AS (SELECT r, line, term, count(*) AS n FROM (SELECT r, line, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM l) GROUP BY r, line, term),
-x AS (SELECT r, line, term, (1 + ln(n)) * COALESCE(idf, 1) AS w FROM e LEFT JOIN idf USING (term)),
+x AS MATERIALIZED (SELECT r, line, term, (1 + ln(n)) * COALESCE(idf, 1) AS w FROM e LEFT JOIN idf USING (term)),
 xn AS (SELECT r, line, sqrt(sum(w * w)) AS norm FROM x GROUP BY r, line),
-c AS (SELECT r, license, round(sum(x.w * tw.w) / any_value(xn.norm) / any_value(tn.norm), 6) AS cosine
-  FROM x JOIN xn USING (r, line) JOIN tw USING (term) JOIN tn USING (license) GROUP BY r, line, license),
-o AS (SELECT r, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, license) AS k FROM c WHERE cosine >= 0.5) WHERE k = 1),
+c AS (SELECT r, tw.license AS license, round(sum(x.w * tw.w) / any_value(xn.norm) / any_value(tn.norm), 6) AS cosine
+  FROM x JOIN xn USING (r, line) JOIN tw USING (term) JOIN tn USING (t) GROUP BY r, line, tw.t, tw.license),
+o AS (SELECT r, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY license = '{licenses.RESERVED}', cosine DESC, license) AS k FROM c WHERE cosine >= 0.5) WHERE k = 1),
 w AS (SELECT f.r, page_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license, cosine FROM f LEFT JOIN o USING (r)),
-s AS (SELECT dir, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) AS k
+s AS (SELECT dir, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY license = '{licenses.RESERVED}', cosine DESC, license) AS k
   FROM w WHERE license IS NOT NULL AND regexp_matches(path, '{licenses.LICENSE_FILE}')) WHERE k = 1),
 h AS (SELECT r, arg_max(s.license, len(s.dir)) AS license, arg_max(s.cosine, len(s.dir)) AS cosine
   FROM w JOIN s ON w.dir = s.dir OR starts_with(w.dir, s.dir || '/') WHERE w.license IS NULL GROUP BY r)
