@@ -39,7 +39,7 @@ WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor above which its windows are told apart by their own hashes.
 HOT = 20_000
 #: Words of the segments that are streamed through one shard's automata, and passages in one automaton.
-SHARD_WORDS, MACHINE = 200_000, 40_000
+SHARD_WORDS, MACHINE = 8_000, 40_000
 
 
 def _slide(x: np.ndarray, w: int) -> np.ndarray:
