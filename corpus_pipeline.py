@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
 columns of documents. Between stages the rows are written as Parquet into the shared folder and read again, so a lost
 executor costs at most one stage's tasks.
+
+Defined cases: null and empty texts are scored like any other; null ids come last in every order; rows of one id are
+documents of their own, but rows equal in all columns are one after the near-dedup stage; other columns than those of
+documents are dropped; empty tables give none.
 """
 
 from __future__ import annotations
@@ -69,7 +73,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe encoding", encoding_stage),
 ]
 
-#: SQL has neither the model nor the encoding; the stages are tested against brute force.
+#: SQL has neither the model nor the encoding; tests/llm compares the stages' operators with brute force, the tokenizers library or held-out labels, one by one.
 ORACLE_SQL = None
 
 
