@@ -61,8 +61,8 @@ def names_of(values: np.ndarray, before: np.ndarray) -> list[int | None]:
 def _each_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Name, place of the first and number of the shingles of each set, and the shingles; a set comes once a task."""
     seen: set[int] = set()
-    for batch in slices(batches, batch_column := "text"):
-        values, before = sets_of(batch.column(batch_column), k)
+    for batch in slices(batches, "text"):
+        values, before = sets_of(batch.column("text"), k)
         names = names_of(values, before)
         fresh = [i for i, x in enumerate(names) if x is not None and x not in seen and not seen.add(x)]
         n, first = np.diff(before)[fresh], before[:-1][fresh]
