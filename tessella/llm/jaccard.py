@@ -4,7 +4,9 @@ Of two sets that similar, each shares at least ceil(4 n / 5) of its n shingles w
 in one order, and d = n - ceil(4 n / 5) is what a set may lack, the first d + 1 + d // 2 of each have at least
 1 + d // 2 in common, for the lesser d of the two (the prefix that ends first has no others that may be lacking): only
 prefixes meet, and each pair that has so many is verified over the whole sets. Any order is right; shingles that many
-sets have come last, so that they are in a prefix only where a set has little else. Equal sets are one node.
+sets have come last, the rarer of them first, so that they are in a prefix only where a set has little else. They are
+counted on whole sets, as those that are in no prefix by their hash would take the places of the ones put last. Equal
+sets are one node.
 
 What is asked for is who reaches whom, so pairs of sets that are in one component already are never made. First every
 set meets one other, that with the least name under most of its shingles, which joins groups of near copies in a number
@@ -31,7 +33,7 @@ from tessella.llm._shared import importable, raw, reliable, slices, table
 from tessella.llm._tokens import words
 from tessella.llm.components import components
 
-#: Sets with a shingle in their prefix beyond which it is put last, counted on one set of SAMPLE, and how many such shingles are told to the workers at most.
+#: Sets with a shingle beyond which it is put last, counted on one set of SAMPLE, and how many such shingles are told to the workers at most.
 HOT, SAMPLE, HOTS = 32, 8, 1 << 20
 #: Tasks over which a frequent shingle's sets are spread, and bits of the bitmap of names.
 SPREAD, BITS = 64, 1 << 24
@@ -70,18 +72,36 @@ def _each_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.nd
         yield np.array([names[i] for i in fresh], np.int64), n, values[at]
 
 
-def prefixes(rows: DataFrame, k: int, hot: np.ndarray, share: int = 1) -> DataFrame:
-    """(token, name, often) of the prefix of every set of rows (text), or of one set of so many."""
-    told = rows.sparkSession.sparkContext.broadcast(np.sort(hot))
+def frequent(rows: DataFrame, k: int) -> np.ndarray:
+    """The shingles that HOT sets of rows (text) have, as far as one set of SAMPLE tells, the rarest first; the HOTS most frequent at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, n, values in _each_set(batches, k):
+            yield pa.RecordBatch.from_pydict({"token": pa.array(values[np.repeat(names % SAMPLE == 0, n)].view(np.int64))})
+
+    importable(rows.sparkSession)
+    # a set counts once a task: to count one twice only puts its shingles later
+    told = rows.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE >= HOT)
+    return np.array([r.token for r in told.orderBy(F.desc("n"), "token").limit(HOTS).collect()], np.int64).view(np.uint64)[::-1]
+
+
+def prefixes(rows: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
+    """(token, name, often) of the prefix of every set of rows (text); the shingles hot come last, in their order."""
+    by_value = np.argsort(hot)
+    told = rows.sparkSession.sparkContext.broadcast((hot[by_value], by_value + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = told.value
         for names, n, values in _each_set(batches, k):
             doc = np.repeat(np.arange(len(n)), n)
-            often = np.isin(values, told.value)
-            order = np.lexsort((values, often, doc))
+            late = np.zeros(len(values), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                late = np.where(known[at] == values, place[at], 0)
+            order = np.lexsort((values, late, doc))
             lack = n - (4 * n + 4) // 5
-            mine = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) < (lack + 1 + lack // 2)[doc]) & (names % share == 0)[doc]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(values[order][mine].view(np.int64)), "name": pa.array(names[doc[mine]]), "often": pa.array(often[order][mine])})
+            mine = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) < (lack + 1 + lack // 2)[doc]
+            yield pa.RecordBatch.from_pydict({"token": pa.array(values[order][mine].view(np.int64)), "name": pa.array(names[doc[mine]]), "often": pa.array(late[order][mine] > 0)})
 
     importable(rows.sparkSession)
     return rows.select("text").mapInArrow(run, "token long, name long, often boolean")
@@ -129,10 +149,8 @@ def verified(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 def joined(rows: DataFrame, names: DataFrame, k: int) -> DataFrame:
     """(node, root) of the components that sets at 4/5 or more join. rows has text; names the name of each different set, its size n, and its component so far."""
-    told = prefixes(rows, k, np.zeros(0, np.uint64), SAMPLE).groupBy("token").agg(F.count_distinct("name").alias("n")).where(F.col("n") * SAMPLE >= HOT)
-    hot = np.array([r.token for r in told.orderBy(F.desc("n"), "token").limit(HOTS).collect()], np.int64).view(np.uint64)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = prefixes(rows, k, hot).repartition(parts, "token", F.when(F.col("often"), F.pmod("name", F.lit(SPREAD))))
+    met = prefixes(rows, k, frequent(rows, k)).repartition(parts, "token", F.when(F.col("often"), F.pmod("name", F.lit(SPREAD))))
     held = table(met.sortWithinPartitions("token", "name").mapInArrow(_shared, "token long, name long"))
     held = table(held.join(names, "name").select("token", "name", "n", "component"))
 

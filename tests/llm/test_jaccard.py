@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tessella.llm import jaccard
 
@@ -55,3 +57,15 @@ def test_every_pair_at_four_fifths_is_merged(spark):
     finally:
         jaccard.HOT = old
     assert got == component_count(texts, similar) and len(got) < len(texts) - 30
+
+
+def test_a_shingle_of_many_sets_is_in_no_prefix_of_sets_with_enough_others(spark, monkeypatch):
+    common = [f"c{i}" for i in range(44)]  # 40 of about 100 shingles of each set
+    rows = [(i, " ".join(common + [f"d{i}x{j}" for j in range(60)])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    names = jaccard.names_of(*jaccard.sets_of(pa.array([t for _, t in rows]), 5))
+    named = spark.createDataFrame([(x, 100, i) for i, x in enumerate(names)], "name long, n long, component long")
+    kept, table = [], jaccard.table
+    monkeypatch.setattr(jaccard, "table", lambda df: kept.append(table(df)) or kept[-1])
+    assert jaccard.joined(docs, named, 5).count() == 0
+    assert max([r["count"] for r in kept[0].groupBy("token").count().collect()], default=0) < jaccard.HOT
