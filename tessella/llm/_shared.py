@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of text that a Python worker holds as numpy arrays at once; a longer document comes alone.
 SLICE_BYTES = 1 << 21
+#: The same where each byte of text takes some fifty of arrays.
+SMALL_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,12 +89,12 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text") -> DataFrame:
+def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """f applied to bounded slices of df in Arrow workers."""
     importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
+        for part in slices(batches, column, limit):
             got = f(part)
             yield pa.RecordBatch.from_pydict(got) if isinstance(got, dict) else got
 

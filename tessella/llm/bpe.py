@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import importable, reliable, shared_dir, slices
+from tessella.llm._shared import SMALL_BYTES, importable, reliable, shared_dir, slices
 from tessella.llm._tokens import BASE, INVERSE, mix, powers
 
 LEXICON, CACHE = 65_536, 200_000
@@ -276,7 +276,7 @@ def count_words(docs: DataFrame, text_col: str = "text", special: tuple[str, ...
     marks = re.compile("|".join(map(re.escape, special))) if special else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_BYTES):
             texts = [t for t in batch.column(0).to_pylist() if t]
             if marks:
                 texts = [p for t in texts for p in (marks.split(t) if "<|" in t else (t,))]
@@ -394,7 +394,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(held.value, Lexicon.map(where if where.startswith("/") else SparkFiles.get(where)))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_BYTES):
             ids, upto = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             data, to, every = ids.astype("<u4").tobytes(), upto.tolist(), ids.tolist()
             decoded = [coder.decode(every[a:b]) for a, b in zip(to, to[1:])]

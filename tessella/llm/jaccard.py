@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import simhash
-from tessella.llm._shared import importable, raw, reliable, slices, table
+from tessella.llm._shared import SMALL_BYTES, importable, raw, reliable, slices, table
 from tessella.llm._tokens import words
 from tessella.llm.components import components
 
@@ -63,7 +63,7 @@ def names_of(values: np.ndarray, before: np.ndarray) -> list[int | None]:
 def _each_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Name, place of the first and number of the shingles of each set, and the shingles; a set comes once a task."""
     seen: set[int] = set()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SMALL_BYTES):
         values, before = sets_of(batch.column("text"), k)
         names = names_of(values, before)
         fresh = [i for i, x in enumerate(names) if x is not None and x not in seen and not seen.add(x)]

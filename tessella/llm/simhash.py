@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import map_text, raw, reliable, table
+from tessella.llm._shared import SMALL_BYTES, map_text, raw, reliable, table
 from tessella.llm._tokens import LOWER, words
 from tessella.llm.components import components
 
@@ -142,7 +142,7 @@ def groups(rows: DataFrame, k: int = 5, most: int = 3) -> DataFrame:
         return {"key": batch.column(0), "fp": pa.array(_folded(digests, before).view(np.int64)), "name": pa.array(jaccard.names_of(values, sets), pa.int64()), "n": pa.array(np.diff(sets))}
 
     kind = rows.schema["key"].dataType.simpleString()
-    got = table(map_text(rows.select("key", "text"), run, f"key {kind}, fp long, name long, n long"))
+    got = table(map_text(rows.select("key", "text"), run, f"key {kind}, fp long, name long, n long", limit=SMALL_BYTES))
     first = reliable(got.where("name is not null").groupBy("name").agg(F.min("fp").alias("fp"), F.first("n").alias("n")))
     # sets that are equal, counted otherwise, may have several fingerprints
     same = got.join(first.select("name", F.col("fp").alias("b")), "name").where("fp <> b").select(F.col("fp").alias("u"), F.col("b").alias("v"))

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import bpe
@@ -57,3 +59,20 @@ def test_lexicon_is_a_minimal_automaton(tmp_path):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_workers_hold_little_beside_a_large_batch(spark, monkeypatch):
+    docs, taken = spark.createDataFrame([(1, "a word", "", 0)], SCHEMA), []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: taken.append(f) or real(self, f, schema))
+    bpe.encode(docs, PATH)
+    text = pa.array([" ".join(random.Random(i).choices(["a", "word", "of", "texts"], k=2_000)) for i in range(300)])
+    for f, columns in zip(taken, ({"text": text}, {"id": pa.array(range(300)), "text": text}), strict=True):
+        batch = pa.RecordBatch.from_pydict(columns)
+        tracemalloc.start()
+        try:
+            assert sum(1 for _ in f(iter([batch])))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert peak < 80 << 20
