@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {"id": batch.column(0), "fp": pa.array(fingerprints_of(batch.column(1), k).view(np.int64))}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, fp long")
+    return map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, fp long", limit=SMALL_BYTES)
 
 
 def links(fps: DataFrame, most: int = 2) -> DataFrame:

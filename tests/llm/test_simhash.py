@@ -1,8 +1,10 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tessella.llm import simhash
@@ -88,3 +90,19 @@ def test_components_of_chains_and_hubs(spark):
     want = roots({x for p in pairs for x in p} - {ids[270]}, pairs[:-1])
     assert got == want
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_workers_hold_little_beside_a_large_batch(spark, monkeypatch):
+    docs, taken = spark.createDataFrame([(1, "a word", "", 0, 0)], SCHEMA), []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: taken.append(f) or real(self, f, schema))
+    simhash.fingerprints(docs, k=3)
+    texts = [" ".join(random.Random(i).choices(["a", "word", "of", "texts"], k=2_000)) for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(300)), "text": texts})
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in taken[0](iter([batch]))) == 300
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 << 20
