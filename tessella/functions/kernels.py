@@ -146,6 +146,11 @@ def factors(r: np.ndarray, c: np.ndarray, u: np.ndarray, metric: str) -> dict[st
     return {"f_add": 1 - (r * c).sum(1) + ratio * shift, "f_rescale": -ratio, "f_error": error}
 
 
+def certain(f_error: np.ndarray, g_error: np.ndarray, size: int) -> np.ndarray:
+    """The most that an estimate can err, by Cauchy and Schwarz, a little widened for rounding; f_error is EPS deviations of size - 1 directions."""
+    return f_error * (np.sqrt(max(size - 1, 1)) / EPS) * g_error + 1e-7 * (1 + g_error * g_error)
+
+
 def one_bit(r: np.ndarray, zero_is_one: bool = False) -> np.ndarray:
     return ((r >= 0) if zero_is_one else (r > 0)).astype(np.int64)
 

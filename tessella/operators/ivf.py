@@ -19,7 +19,7 @@ from tessella import importable
 from tessella.functions import kernels as K
 from tessella.operators import cluster, scan
 
-CODES = "vec_id long, cluster_id int, sign binary, f_add double, f_rescale double, f_error double, code binary, f_add_ex double, f_rescale_ex double"
+CODES = "vec_id long, cluster_id int, sign binary, f_add double, f_rescale double, f_error double, code binary, f_add_ex double, f_rescale_ex double, f_error_ex double"
 
 
 def metric_of(name: str) -> str:
@@ -33,7 +33,7 @@ def pack_rows(ids, cluster_ids, codes: K.Codes) -> pa.RecordBatch:
     ex = codes.bits - 1
     return pa.RecordBatch.from_pydict({
         "vec_id": pa.array(ids), "cluster_id": pa.array(np.asarray(cluster_ids, np.int32)), "sign": pa.array(K.pack_codes(codes.sign, 1), pa.binary()), **{f: pa.array(codes.one[f]) for f in ("f_add", "f_rescale", "f_error")},
-        "code": pa.array(K.pack_codes(codes.code, ex), pa.binary()) if ex else pa.array([b""] * len(ids), pa.binary()), "f_add_ex": pa.array(codes.ex["f_add"]), "f_rescale_ex": pa.array(codes.ex["f_rescale"]),
+        "code": pa.array(K.pack_codes(codes.code, ex), pa.binary()) if ex else pa.array([b""] * len(ids), pa.binary()), "f_add_ex": pa.array(codes.ex["f_add"]), "f_rescale_ex": pa.array(codes.ex["f_rescale"]), "f_error_ex": pa.array(codes.ex["f_error"]),
     })
 
 
@@ -41,7 +41,7 @@ def unpack_rows(batch, size: int, bits: int) -> K.Codes:
     col = lambda c: batch.column(batch.schema.get_field_index(c))
     one = {f: col(f).to_numpy() for f in ("f_add", "f_rescale", "f_error")}
     code = K.unpack_codes(col("code").to_pylist(), size, bits - 1) if bits > 1 else np.zeros((batch.num_rows, size), np.int64)
-    return K.Codes(bits, K.unpack_codes(col("sign").to_pylist(), size, 1), one, code, {"f_add": col("f_add_ex").to_numpy(), "f_rescale": col("f_rescale_ex").to_numpy()})
+    return K.Codes(bits, K.unpack_codes(col("sign").to_pylist(), size, 1), one, code, {"f_add": col("f_add_ex").to_numpy(), "f_rescale": col("f_rescale_ex").to_numpy(), "f_error": col("f_error_ex").to_numpy()})
 
 
 @dataclass
@@ -116,7 +116,7 @@ class IvfIndex:
         return self.codes, cids, c, probes, narrow
 
     def candidates(self, queries: DataFrame, k: int, nprobe: int, slack: float = 1.0) -> DataFrame:
-        """(qid, vec_id, low, high): rows of the probed lists whose lower bound is at most the k-th least upper bound seen in their task; metrics.bounded finishes the job. slack widens the bounds."""
+        """(qid, vec_id, low, high): rows of the probed lists whose lower bound is at most the k-th least upper bound seen in their task; metrics.bounded finishes the job. The bounds are certain: no estimate lies outside. slack widens them."""
         table, cids, c, probes, narrow = self._probing(nprobe)
         rotation, bits, metric = self.rotation, self.bits, self.metric
         shape = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
@@ -136,8 +136,9 @@ class IvfIndex:
                         at, rows = int(np.searchsorted(cids, cid)), np.flatnonzero(lists_ == cid)
                         codes = unpack_rows(batch.take(pa.array(rows)), rotation.size, bits)
                         for i in asks.get(at, ()):
-                            _, _, full, low = K.estimates(codes, rotated[i], *K.centre_terms(rotated[i], centres[at], metric))
-                            width = (full - low) * slack
+                            g_add, g_error = K.centre_terms(rotated[i], centres[at], metric)
+                            full = K.estimates(codes, rotated[i], g_add, g_error)[2]
+                            width = K.certain(codes.ex["f_error"], g_error, rotation.size) * slack
                             now = np.concatenate([kept[i], np.column_stack([own[rows], full - width, full + width])])
                             bar = np.partition(now[:, 2], k - 1)[k - 1] if len(now) >= k > 0 else np.inf
                             kept[i] = now[now[:, 1] <= bar]
