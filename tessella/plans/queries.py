@@ -584,9 +584,11 @@ def hnsw_levels(spark, d):
 
 @query()
 def hnsw_search(spark, d):
+    """Met by the beams over codes, then by exact distance as far as the codes leave it open."""
     x = e(spark, d)
     index = graphs.HnswIndex(DIM, ef_construction=100, shard=2000).build(x, centroids(spark, d), True, vec_col="v")
-    return index.search(q(x), 10, 100).withColumn("distance", r6(F.col("distance")))
+    left = metrics.bounded(index.candidates(q(x), 10, 100), 10)
+    return metrics.rerank(left, x, q(x), 10, vec_col="v").withColumn("distance", r6(F.col("distance")))
 
 
 @query()
