@@ -94,14 +94,41 @@ class Kept:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.qids, n)), pa.array(np.concatenate([*self.ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*self.distances, np.zeros(0)]))], schema=NO_HITS)
 
 
+class Dense:
+    """The k best of each query so far as matrices, so that hits of many queries are merged at once."""
+
+    def __init__(self, qids: np.ndarray, k: int):
+        self.qids, self.k = qids, k
+        self.ids, self.distances = np.full((len(qids), k), -1), np.full((len(qids), k), np.inf)
+
+    def bars(self, rows: slice) -> np.ndarray:
+        """Distances above which nothing is kept any more."""
+        return self.distances[rows, -1] if self.k else np.full(len(self.qids[rows]), -np.inf)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, distances: np.ndarray) -> None:
+        """Hits, each with the place of its query."""
+        own = np.unique(rows)
+        if not self.k or not len(own):
+            return
+        r = np.concatenate([np.repeat(own, self.k), rows])
+        i, d = np.concatenate([self.ids[own].ravel(), ids]), np.concatenate([self.distances[own].ravel(), distances])
+        order = np.lexsort((i, d, r))
+        first = np.searchsorted(r[order], own)[:, None] + np.arange(self.k)
+        self.ids[own], self.distances[own] = i[order][first], d[order][first]
+
+    def batch(self) -> pa.RecordBatch:
+        r, j = np.nonzero(np.isfinite(self.distances))
+        return pa.RecordBatch.from_arrays([pa.array(self.qids[r]), pa.array(self.ids[r, j]), pa.array(self.distances[r, j])], schema=NO_HITS)
+
+
 def ranked(hits: DataFrame, k: int) -> DataFrame:
     """(qid, rank, vec_id, distance): the k nearest hits of each query, ties to the smaller id; fewer if there are fewer."""
     w = Window.partitionBy("qid").orderBy("distance", "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "distance")
 
 
-def search(table: DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], k: int, scorer: Callable, narrow: Callable | None = None) -> DataFrame:
-    """ranked over table. scorer(ids, q) gives, in a worker, a function (record batch, Kept) -> None; narrow(table, ids, q) prunes the table for a block."""
+def search(table: DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], k: int, scorer: Callable, narrow: Callable | None = None, keeper: type = Kept) -> DataFrame:
+    """ranked over table. scorer(ids, q) gives, in a worker, a function (record batch, keeper of the block) -> None; narrow(table, ids, q) prunes the table for a block."""
     spark = table.sparkSession
     importable(spark)
     found = None
@@ -109,7 +136,7 @@ def search(table: DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], k
         held = spark.sparkContext.broadcast((ids, q))  # at most a block
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            kept, step = Kept(held.value[0], k), scorer(*held.value)
+            kept, step = keeper(held.value[0], k), scorer(*held.value)
             for batch in batches:
                 if batch.num_rows:
                     step(batch, kept)

@@ -536,9 +536,9 @@ EDGES = f"ed AS (SELECT src, dst FROM (SELECT a.vec_id AS src, b.vec_id AS dst,
 
 
 def _edges(spark, d) -> DataFrame:
-    """The exact neighbours of every vertex: all rows are queries, block by block."""
+    """The exact neighbours of every vertex: all rows are queries, block by block, against rows dealt to all cores whatever the files."""
     x = e(spark, d)
-    near = knn.exact_knn(x, x.select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), DEGREE + 1, vec_col="v").where("qid <> vec_id")
+    near = knn.exact_knn(x.repartition(spark.sparkContext.defaultParallelism), x.select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), DEGREE + 1, vec_col="v").where("qid <> vec_id")
     return scan.ranked(near.drop("rank"), DEGREE).select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"))
 
 
